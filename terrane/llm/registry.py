@@ -14,11 +14,13 @@ from terrane.llm.packing import op9_packing
 from terrane.llm.projections import op7_projections
 from terrane.llm.quality import op5_quality
 from terrane.llm.sharding import op10_sharding
+from terrane.llm.substrings import op3_substrings
 from terrane.llm.toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_mixing": op2_mixing,
+    "op3_substrings": op3_substrings,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
