@@ -11,6 +11,7 @@ from terrane.llm.line_dedup import OP4_SQL, op4_line_dedup
 from terrane.llm.minhash import op6_minhash
 from terrane.llm.mixing import op2_mixing
 from terrane.llm.packing import op9_packing
+from terrane.llm.paragraphs import op8_paragraphs
 from terrane.llm.projections import op7_projections
 from terrane.llm.quality import op5_quality
 from terrane.llm.sharding import op10_sharding
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
     "op7_projections": op7_projections,
+    "op8_paragraphs": op8_paragraphs,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
     "pipeline": corpus_pipeline.run,
