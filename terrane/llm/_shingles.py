@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,6 +95,16 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = 5) -> tuple[np.
         acc += word[j : j + len(acc)] * _STEP[j]
     acc = mix(acc)
     inside = owner[: len(acc)] == owner[size - 1 : size - 1 + len(acc)]
+    if len(word) < 200 * n:  # many small texts: all at once
+        short = np.flatnonzero((count > 0) & (count < size))
+        lone = np.array([int(mix((word[first[i] : first[i + 1]] * _STEP[8 : 8 + count[i]]).sum(dtype=np.uint64, keepdims=True) + np.uint64(count[i]))[0]) for i in short], dtype=np.uint64)
+        value = np.concatenate([acc[inside], lone])
+        of = np.concatenate([owner[: len(acc)][inside], short])
+        order = np.lexsort((value, of))
+        value, of = value[order], of[order]
+        new = np.ones(len(value), dtype=bool)
+        new[1:] = (value[1:] != value[:-1]) | (of[1:] != of[:-1])
+        return value[new], np.concatenate([[0], np.cumsum(np.bincount(of[new], minlength=n))]).astype(np.int64)
     out, offsets = [], np.zeros(n + 1, dtype=np.int64)
     for i in range(n):
         a, b = first[i], first[i + 1]
@@ -108,16 +117,15 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = 5) -> tuple[np.
             own = acc[:0]
         out.append(own)
         offsets[i + 1] = offsets[i] + len(own)
-    del inside
     return np.concatenate(out), offsets
 
 
 class Sketcher:
-    """MinHash samples (one multiply-shift function each), their bands, and the odd sketch of the samples."""
+    """MinHash samples (one multiply-shift function each) and their bands."""
 
-    def __init__(self, bands: int, rows: int, bits: int = 256, seed: int = 11):
+    def __init__(self, bands: int, rows: int, seed: int = 11):
         rng = np.random.Generator(np.random.PCG64(seed))
-        self.bands, self.rows, self.bits, k = bands, rows, bits, bands * rows
+        self.bands, self.rows, k = bands, rows, bands * rows
         self.a = rng.integers(1, 1 << 63, k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, k, dtype=np.uint64)
 
@@ -133,16 +141,84 @@ class Sketcher:
         s = mix(samples).reshape(len(samples), self.bands, self.rows)
         return mix((s * _STEP[: self.rows]).sum(axis=2, dtype=np.uint64)).view(np.int64)
 
-    def odd(self, samples: np.ndarray) -> np.ndarray:
-        """Parity bitmap of the samples, as bits / 64 integers: bit p is the parity of samples folded to p."""
-        place = (mix(samples + _STEP[40] * np.arange(len(self.a), dtype=np.uint64)) & np.uint64(self.bits - 1)).astype(np.int64)
-        flat = np.arange(len(samples), dtype=np.int64)[:, None] * self.bits + place
-        parity = np.bincount(flat.ravel(), minlength=len(samples) * self.bits) & 1
-        return np.packbits(parity.astype(np.uint8).reshape(len(samples), self.bits), axis=1, bitorder="little").view(np.int64)
+#: Bins of the one-permutation MinHash samples and bits of the odd sketch that they are folded into.
+BITS = 1024
+#: Sets with fewer samples are kept whole; against larger ones they are screened by size alone.
+SMALL = 48
 
 
-def set_name(own: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set of hashes."""
-    a = int(mix(own).sum(dtype=np.uint64)) ^ len(own) * _BASE & MASK
-    b = int(mix(own * _STEP[20] + _STEP[21]).sum(dtype=np.uint64))
-    return a - (1 << 64) if a >> 63 else a, b - (1 << 64) if b >> 63 else b
+def odd_sketches(sets: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Of each non-empty sorted set: its size and number of samples, then the parity bitmap of its samples.
+
+    A sample is the least hash of one of BITS equal ranges (one-permutation MinHash); every sample flips the
+    bit that it is folded to. The XOR of two bitmaps is the odd sketch of the samples that only one set has.
+    Sets with under SMALL samples have their hashes instead of a bitmap.
+    """
+    n = len(offsets) - 1
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    cell = owner * BITS + (sets >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+    first = np.ones(len(sets), dtype=bool)
+    first[1:] = cell[1:] != cell[:-1]
+    samples = np.bincount(owner[first], minlength=n)
+    head = np.stack([np.diff(offsets), samples], axis=1).astype("<i8").tobytes()
+    large = samples >= SMALL
+    rank = np.cumsum(large) - 1
+    use = first & large[owner]
+    place = rank[owner[use]] * BITS + (mix(sets[use] + _STEP[40]) & np.uint64(BITS - 1)).astype(np.int64)
+    parity = (np.bincount(place, minlength=int(large.sum()) * BITS) & 1).astype(np.uint8)
+    bitmap, raw, wide = np.packbits(parity.reshape(-1, BITS), axis=1).tobytes(), sets.tobytes(), BITS // 8
+    at, rank, large = (8 * offsets).tolist(), rank.tolist(), large.tolist()
+    return [head[16 * i : 16 * i + 16] + (bitmap[rank[i] * wide : rank[i] * wide + wide] if large[i] else raw[at[i] : at[i + 1]]) for i in range(n)]
+
+
+def open_sketches(odd: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray | None]]:
+    """Sizes, sample counts, bitmaps (as 64-bit words; zeros for small sets) and the hashes of small sets."""
+    head = np.frombuffer(b"".join(x[:16] for x in odd), dtype="<i8").reshape(len(odd), 2)
+    blank = bytes(BITS // 8)
+    small = (head[:, 1] < SMALL).tolist()
+    bits = np.frombuffer(b"".join(blank if s else x[16:] for s, x in zip(small, odd, strict=True)), dtype=np.uint64)
+    hashes = [np.frombuffer(x, dtype=np.uint64, offset=16) if s else None for s, x in zip(small, odd, strict=True)]
+    return head[:, 0].astype(np.float64), head[:, 1].astype(np.float64), bits.reshape(len(odd), BITS // 64), hashes
+
+
+def similar_small(least: float, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Which of all pairs of small sets reach the similarity: a matrix."""
+    out = np.zeros((len(x), len(y)), dtype=bool)
+    if not len(x) or not len(y):
+        return out
+    nx, ny = np.array([len(v) for v in x]), np.array([len(v) for v in y])
+    value = np.unique(np.concatenate([*x, *y]), return_inverse=True)[1]
+    width = int(value.max()) + 1
+    a, b = np.zeros((len(x), width), dtype=np.float32), np.zeros((len(y), width), dtype=np.float32)
+    a[np.repeat(np.arange(len(x)), nx), value[: nx.sum()]] = 1
+    b[np.repeat(np.arange(len(y)), ny), value[nx.sum() :]] = 1
+    common = a @ b.T
+    return common >= least * (nx[:, None] + ny[None, :] - common) - 1e-6
+
+
+def may_reach(least: float, differ: np.ndarray, na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """False where two sets surely have a similarity under `least`: by their sizes, or by the odd sketch.
+
+    The bits in which the bitmaps differ give the number of samples that only one set has. At similarity
+    `least` its expectation follows from the sizes of the sets and the numbers of their samples. What is
+    found may exceed it by 4.5 standard deviations of the sampling (little where most of a set is sampled)
+    and of the folding. Small sets pass.
+    """
+    occupied = lambda m: BITS * -np.expm1(m * np.log1p(-1 / BITS))
+    union = (na + nb) / (1 + least)
+    used = occupied(union)
+    expected = (sa + sb) * (1 - 2 * least * used / np.maximum(occupied(na) + occupied(nb), 1))
+    apart = -BITS / 2 * np.log(np.maximum(1 - 2 * differ / BITS, 1e-3))
+    load = np.clip(expected / BITS, 0, 4)
+    folding = BITS / 4 * (1 - np.exp(-4 * load) * (1 + 4 * load)) * np.exp(4 * load)
+    sampling = 4 * used * least * (1 - least) * np.maximum(0.02, 1 - used / union)
+    near = np.minimum(na, nb) >= least * np.maximum(na, nb) - 1e-9
+    return near & ((np.minimum(sa, sb) < SMALL) | (apart <= expected + 4.5 * np.sqrt(sampling + folding) + 2))
+
+
+def set_names(sets: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """128 bits that name each non-empty set, as two columns of integers."""
+    count = np.diff(offsets).astype(np.uint64)
+    a = np.add.reduceat(mix(sets), offsets[:-1]) ^ (count * np.uint64(_BASE))
+    b = np.add.reduceat(mix(sets * _STEP[20] + _STEP[21]), offsets[:-1])
+    return np.stack([a, b], axis=1).view(np.int64)

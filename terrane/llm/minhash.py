@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm._common import components, drop_table, key_of, load, release, table, union_all
-from terrane.llm._shingles import Sketcher, pieces, set_name, shingle_sets
+from terrane.llm._shingles import SMALL, Sketcher, may_reach, odd_sketches, open_sketches, pieces, set_names, shingle_sets, similar_small
 
 #: 20 bands of 4: at similarity 0.85 a pair shares no band with probability 4e-7, at 0.8 with 3e-5.
-BANDS, ROWS, BITS = 20, 4, 256
+BANDS, ROWS = 20, 4
 #: Members of one block when the rest of a bucket is compared.
 BLOCK = 256
 
 
-def odd_limit(least: float, samples: int = BANDS * ROWS, bits: int = BITS, sigmas: float = 5.0) -> int:
-    """Most differing bits of the odd sketches of two sets of similarity `least`, five deviations above the mean."""
-    differ = samples * (1 - least) + sigmas * np.sqrt(samples * least * (1 - least))
-    mean = bits / 2 * (1 - (1 - 2 / bits) ** (2 * min(samples, differ)))
-    return int(np.ceil(mean + 2 * np.sqrt(mean / 2)))
-
-
 def _sketch(items: DataFrame, size: int) -> DataFrame:
-    """(id, text) -> id, n_shingles, s1, s2 (name of the set), keys (one per band), odd (bitmap)."""
-    ident = items.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", ident), *[T.StructField(c, T.LongType()) for c in ("n_shingles", "s1", "s2")], *[T.StructField(c, T.ArrayType(T.LongType())) for c in ("keys", "odd")]])
+    """(id, text) -> id, n_shingles, s1, s2 (name of the set), keys (one per band), odd (sizes and bitmap)."""
+    fields = [items.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "s1", "s2")]]
+    schema = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketcher = Sketcher(BANDS, ROWS, BITS)
+        sketcher = Sketcher(BANDS, ROWS)
         for batch in batches:
             ids = batch.column("id")
             for first, last, data, ends in pieces(batch.column("text")):
@@ -41,14 +34,15 @@ def _sketch(items: DataFrame, size: int) -> DataFrame:
                 full = np.flatnonzero(count)
                 named = np.zeros((last - first, 2), dtype=np.int64)
                 keys = np.zeros((last - first, BANDS), dtype=np.int64)
-                odd = np.zeros((last - first, BITS // 64), dtype=np.int64)
+                odd: list[bytes | None] = [None] * (last - first)
                 if len(full):
-                    for i in full:
-                        named[i] = set_name(sets[offsets[i] : offsets[i + 1]])
-                    samples = sketcher.samples(sets, np.append(offsets[full], offsets[-1]))
-                    keys[full], odd[full] = sketcher.band_keys(samples), sketcher.odd(samples)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel())) for x in (keys, odd)]
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(count.astype(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), *lists], names=schema.names)
+                    own = np.append(offsets[full], offsets[-1])
+                    named[full] = set_names(sets, own)
+                    keys[full] = sketcher.band_keys(sketcher.samples(sets, own))
+                    for i, sketch in zip(full.tolist(), odd_sketches(sets, own), strict=True):
+                        odd[i] = sketch
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(count.astype(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), lists, pa.array(odd, pa.binary())], names=schema.names)
 
     return items.select("id", "text").mapInArrow(run, schema)
 
@@ -91,46 +85,88 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, schema)
 
 
-def _differ(x: str, y: str) -> Column:
-    """Differing bits of two odd sketches."""
-    return sum((F.bit_count(F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
+def _screen(pairs: DataFrame, odds: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) that the odd sketches do not rule out: a, b, z (differing bits)."""
+    kind = pairs.schema["a"].dataType
+    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("z", T.LongType())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            na, sa, u, x = open_sketches(batch.column("p").to_pylist())
+            nb, sb, v, y = open_sketches(batch.column("q").to_pylist())
+            z = np.bitwise_count(u ^ v).sum(axis=1, dtype=np.int64)
+            ok = may_reach(least, z, na, nb, sa, sb)
+            for i in np.flatnonzero(ok & (sa < SMALL) & (sb < SMALL)):
+                common = len(np.intersect1d(x[i], y[i], assume_unique=True))
+                ok[i] = common >= least * (na[i] + nb[i] - common) - 1e-6
+            good = pa.array(np.flatnonzero(ok))
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good), pa.array(z).take(good)], names=schema.names)
+
+    x, y = odds.select(F.col("id").alias("a"), F.col("odd").alias("p")), odds.select(F.col("id").alias("b"), F.col("odd").alias("q"))
+    return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "p", "q").mapInArrow(run, schema)
 
-def _across(members: DataFrame, limit: int) -> DataFrame:
+
+def _across(members: DataFrame, least: float) -> DataFrame:
     """Pairs of one bucket in different components that the odd sketches do not rule out.
 
-    members(band, key, id, odd, comp, major): rows of a bucket's largest component are compared with the
-    others only, in blocks of BLOCK by BLOCK rows. Nothing is emitted but the pairs that pass.
+    members(band, key, id, odd, keys, comp, major): rows of a bucket's largest component are compared with
+    the others only, in cells of about BLOCK by BLOCK rows. Nothing is emitted but the pairs that pass, each
+    from the first band in which they meet.
     """
-    kind = members.schema["id"].dataType
     keys = ["band", "key"]
     minor = members.filter("comp != major")
-    blocks = minor.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    left = minor.join(table(blocks, "blocks"), keys).withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-    everyone = members.join(table(members.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("all")), "blocks"), keys)
-    right = everyone.withColumn("j", F.pmod(F.xxhash64("id", F.lit(3)), F.col("all")))
-    left = left.join(table(right.select(*keys, "j").distinct(), "cells"), keys)
-    right = right.drop("all").join(table(left.select(*keys, "i").distinct(), "cells"), keys)
-    schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    cell = [*keys, "i", "j"]
-    left, right = table(left, "left"), table(right, "right")
-
-    def run(key: tuple, x, y):
-        import pandas as pd
-
-        out = []
-        if len(x) and len(y):
-            u, v = (np.stack(p["odd"].to_list()).astype(np.int64).view(np.uint64) for p in (x, y))
-            cx, cy = x["comp"].to_numpy(), y["comp"].to_numpy()
-            for at in range(0, len(u), 64):
-                bits = np.zeros((len(u[at : at + 64]), len(v)), dtype=np.int64)
-                for k in range(u.shape[1]):
-                    bits += np.bitwise_count(u[at : at + 64, None, k] ^ v[None, :, k])
-                i, j = np.nonzero((bits <= limit) & (cx[at : at + 64, None] != cy[None, :]))
-                out.append(pd.DataFrame({"a": x["id"].to_numpy()[at + i], "b": y["id"].to_numpy()[j]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": x["id"][:0], "b": x["id"][:0]})
-
-    pairs = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(run, schema)
+    left = minor.join(table(minor.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), keys)
+    left = left.withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
+    right = members.join(table(members.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), keys)
+    right = right.withColumn("j", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
+    rows, columns = table(left.select(*keys, "i").distinct(), "cells"), table(right.select(*keys, "j").distinct(), "cells")
+    sides = [left.join(columns, keys).withColumn("side", F.lit(0)), right.join(rows, keys).withColumn("side", F.lit(1))]
+    cell = F.xxhash64(*keys, "i", "j").alias("cell")
+    both = table(union_all([x.select(cell, "side", "band", "id", "comp", "odd", "keys", (F.col("comp") == F.col("major")).alias("most")) for x in sides]), "cells")
+    # many cells are small: a task's call gets a batch of whole cells
+    batches = max(1, both.count() // (8 * BLOCK))
+    schema = T.StructType([T.StructField(c, members.schema["id"].dataType) for c in ("a", "b")])
+
+    def run(cells: pa.Table) -> pa.Table:
+        cells = cells.combine_chunks()
+        cell, side, band = (cells[c].to_numpy() for c in ("cell", "side", "band"))
+        most = cells["most"].to_numpy(zero_copy_only=False).astype(bool)
+        comp, rank = (np.unique(cells[c].to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in ("comp", "id"))
+        keys = cells["keys"].combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
+        n, samples, bitmap, hashes = open_sketches(cells["odd"].to_pylist())
+        tiny = samples < SMALL
+        order = np.lexsort((side, cell))
+        starts = np.flatnonzero(np.concatenate([[True], cell[order][1:] != cell[order][:-1]]))
+        found_a, found_b = [], []
+        for own in np.split(order, starts[1:]):
+            half = int(np.searchsorted(side[own], 1))
+            x, y = own[:half], own[half:]
+            for at in range(0, len(x), 64):
+                u = x[at : at + 64]
+                # members of two lesser components meet twice; the greater id's cell has them
+                ok = (comp[u][:, None] != comp[y][None, :]) & (most[y][None, :] | (rank[u][:, None] > rank[y][None, :]))
+                if not ok.any():
+                    continue
+                small_u, small_y = np.flatnonzero(tiny[u]), np.flatnonzero(tiny[y])
+                if len(small_u) and len(small_y):
+                    ok[np.ix_(small_u, small_y)] &= similar_small(least, [hashes[i] for i in u[small_u]], [hashes[i] for i in y[small_y]])
+                if len(small_u) < len(u) or len(small_y) < len(y):
+                    z = np.bitwise_count(bitmap[u][:, None, :] ^ bitmap[y][None, :, :]).sum(axis=2, dtype=np.int64)
+                    ok &= may_reach(least, z, n[u][:, None], n[y][None, :], samples[u][:, None], samples[y][None, :])
+                i, j = np.nonzero(ok)
+                first = band[own[0]]
+                if first and len(i):
+                    new = ~(keys[u[i], :first] == keys[y[j], :first]).any(axis=1)
+                    i, j = i[new], j[new]
+                found_a.append(u[i])
+                found_b.append(y[j])
+        ids = cells["id"]
+        pick = lambda rows: ids.take(pa.array(np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64)))
+        return pa.table({"a": pick(found_a), "b": pick(found_b)})
+
+    pairs = both.groupBy(F.pmod("cell", F.lit(batches))).applyInArrow(run, schema)
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -154,8 +190,14 @@ def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -
     several components; their pairs across components are screened in blocks and confirmed likewise. So
     every pair in a bucket is confirmed, screened out, or already known to be connected.
     """
-    limit = odd_limit(percent / 100)
     sk = table(_sketch(items, size), "sketches")
+    # ids grow with the input: the same join at every size
+    return link_classes(sk, lambda ids: _sets(items.join(ids.hint("merge"), "id", "left_semi"), size), percent)
+
+
+def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """Components of sketched items (id, n_shingles, s1, s2, keys, odd); sets_of(ids) gives id, set."""
+    least = percent / 100
     full = sk.filter("n_shingles > 0")
     classes = table(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "odd")
@@ -163,13 +205,11 @@ def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -
     buckets = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
     buckets = table(buckets.select("band", "key", "hub"), "buckets")
     members = table(banded.join(buckets, ["band", "key"]), "members")
-    odds = table(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "odd"), "odds")
-    sets = table(_sets(items.join(odds.select("id"), "id", "left_semi"), size), "sets")
-    release(items.sparkSession)
-    x, y = odds.select(F.col("id").alias("a"), F.col("odd").alias("p")), odds.select(F.col("id").alias("b"), F.col("odd").alias("q"))
+    odds = table(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "odd", "keys"), "odds")
+    sets = table(sets_of(odds.select("id")), "sets")
+    release(sk.sparkSession)
     star = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    star = star.join(x, "a").join(y, "b").withColumn("z", _differ("p", "q")).filter(F.col("z") <= limit).select("a", "b", "z")
-    star = table(star, "stars")
+    star = table(_screen(star, odds, least), "stars")
     best = star.groupBy("a").agg(F.min(F.struct("z", "b")).alias("m")).select("a", "m.b")
     edges = table(_confirm(best, sets, percent), "links")
     found = components(edges)
@@ -189,7 +229,7 @@ def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -
         return _classes(sk, classes, found)
     sizes = mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
     major = table(sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", "key", F.col("m.comp").alias("major")), "major")
-    across = _across(mixed.join(major, ["band", "key"]).join(odds, "id"), limit)
+    across = _across(mixed.join(major, ["band", "key"]).join(odds, "id"), least)
     last = table(_confirm(across.join(star.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links")
     if last.limit(1).count():
         found = components(union_all([edges, more, last]))
