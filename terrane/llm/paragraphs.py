@@ -57,7 +57,7 @@ def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
                 if not len(use):
                     continue
                 sets, offsets = shingle_sets(data, at, size)
-                own = np.concatenate([np.arange(a, b) for a, b in zip(offsets[use], offsets[use + 1], strict=True)])
+                own = _spread(offsets[use], offsets[use + 1])
                 sets, offsets = sets[own], np.concatenate([[0], np.cumsum((offsets[1:] - offsets[:-1])[use])])
                 number = use - np.searchsorted(of, of[use])
                 ids = here + done + np.arange(len(use))
@@ -71,19 +71,25 @@ def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All indexes of the ranges, one after another."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+
+
 def _sets_of(texts: DataFrame, size: int) -> DataFrame:
     """(text, at: [k, id]) -> id, set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                data = np.frombuffer(batch.column("text")[r].as_py().encode(), dtype=np.uint8)
-                at, _, _ = paragraph_ends(data, np.array([0, len(data)]))
+            for first, last, data, ends in pieces(batch.column("text")):
+                at, of, _ = paragraph_ends(data, ends)
                 sets, offsets = shingle_sets(data, at, size)
-                wanted = batch.column("at")[r].values
-                k = np.asarray(wanted.field(0), dtype=np.int64)
-                packed = [sets[a:b].tobytes() for a, b in zip(offsets[k], offsets[k + 1], strict=True)]
-                yield pa.RecordBatch.from_arrays([wanted.field(1), pa.array(packed, pa.binary())], names=["id", "set"])
+                wanted = batch.column("at").slice(first, last - first)
+                n = np.diff(wanted.offsets.to_numpy())
+                k = wanted.flatten().field(0).to_numpy() + np.repeat(np.searchsorted(of, np.arange(last - first)), n)
+                raw, a, b = sets.tobytes(), (8 * offsets[k]).tolist(), (8 * offsets[k + 1]).tolist()
+                yield pa.RecordBatch.from_arrays([wanted.flatten().field(1), pa.array([raw[x:y] for x, y in zip(a, b, strict=True)], pa.binary())], names=["id", "set"])
 
     return texts.select("text", "at").mapInArrow(run, "id long, set binary")
 
@@ -105,7 +111,7 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
 
     def sets_of(ids: DataFrame) -> DataFrame:
         places = sk.select("id", "i", "t", "k").join(ids, "id", "left_semi").groupBy("i", "t").agg(F.collect_list(F.struct("k", "id")).alias("at"))
-        return _sets_of(texts.join(table(places, "places"), ["i", "t"]), size)
+        return _sets_of(texts.join(table(places, "places").hint("merge"), ["i", "t"]), size)
 
     linked = link_classes(sk, sets_of, percent).select("id", "component_id")
     placed = table(sk.select("id", "i", "t", "k").join(linked, "id").select("i", "t", "k", "component_id"), "placed")
@@ -114,7 +120,7 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
     first = placed.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("i", "k")).alias("keep")).filter("n > 1")
     repeated = placed.join(table(first.select("component_id", "keep"), "first"), "component_id").filter("i != keep.i or k != keep.k")
     marks = repeated.groupBy("i", "t").agg(F.collect_set(F.struct("k", F.col("keep.i").alias("by"))).alias("at"))
-    joined = texts.join(table(marks, "marks"), ["i", "t"], "left")
+    joined = texts.join(table(marks, "marks").hint("merge"), ["i", "t"], "left")
     release(spark)
     fields = [("i", T.LongType()), *[(c, T.LongType()) for c in ("n_paragraphs", "n_removed", "n_spans")], ("originals", T.ArrayType(T.LongType())), ("kept_text", T.StringType())]
     schema = T.StructType([T.StructField(*f) for f in fields])
