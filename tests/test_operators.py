@@ -1,0 +1,78 @@
+"""Operators that SQL does not express, against plain Python; small exact fixtures."""
+
+import json
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from terrane.functions import text as X
+from terrane.operators import graph, ingest, lexical, themes
+from terrane.streaming.incremental import follow
+
+
+def test_two_term_space(spark):
+    vocab = spark.createDataFrame([("climate", 2.0), ("health", 3.0)], "term string, idf double")
+    texts = spark.createDataFrame([(1, "health health"), (2, "unknown"), (3, None)], "id int, text string")
+    assert [(r.id, r.term, r.w) for r in lexical.vectors(texts, vocab).collect()] == [(1, "health", 1.0)]
+
+
+def test_ties_go_to_the_first(spark):
+    rows = spark.createDataFrame([(0, 1.0), (1, 1.0)], "seq int, score double").withColumn("k", F.lit(0))
+    assert lexical.best_first(rows, ["k"], [F.desc("score"), "seq"]).first().seq == 0
+
+
+def test_rebuild_with_gaps(spark):
+    df = spark.createDataFrame([({"a": [0, 3], "b": [1]},), ({},)], "m map<string,array<int>>")
+    assert [r[0] for r in df.select(X.rebuilt("m")).collect()] == ["a b  a", None]
+
+
+def test_names_dates_labels(spark):
+    df = spark.createDataFrame([("Li Wei", "2024-99-99"), ("J Smith", "2024-1-1"), ("Δδ Σσ", None)], "n string, d string")
+    got = df.select(X.plausible_name("n").alias("p"), X.valid_date("d").alias("d")).collect()
+    assert [tuple(r) for r in got] == [(True, "2024-99-99"), (False, None), (True, None)]
+    labels = spark.createDataFrame([("One two three four", "Good work."), ("One/two three four five", "Good."), ("One two three four", "Research on x.")], "n string, d string")
+    assert [r[0] for r in labels.select(X.valid_label("n", "d")).collect()] == [True, False, False]
+
+
+def test_components_and_propagation(spark):
+    edges = [(1, 2, 1), (2, 3, 1), (1, 3, 1), (3, 4, 1), (10, 11, 2)]
+    df = spark.createDataFrame(edges, "a long, b long, n long")
+    assert {(r.node, r.component) for r in graph.connected(df.select("a", "b")).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (10, 10), (11, 10)}
+    got = {r.node: r.community for r in graph.communities(df).collect()}
+    want = graph.propagate(df.toPandas())
+    assert got == dict(zip(want["node"], want["community"], strict=True)) and got[10] == got[11] != got[1]
+
+
+def test_kmeans_against_plain(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    seeds = [0]
+    while len(seeds) < 4:
+        seeds.append(int(np.argmax(np.round((1 - x @ x[seeds].T).min(axis=1), 12))))
+    assert [i for i, _ in themes.farthest_first(df, 4)] == seeds
+    c, old = x[seeds], None
+    for _ in range(12):
+        a = np.argmax(np.round(x @ c.T, 12), axis=1)
+        if old is not None and (a == old).all():
+            break
+        old = a
+        c = np.array([x[a == k].sum(axis=0) / np.linalg.norm(x[a == k].sum(axis=0)) if (a == k).any() else c[k] for k in range(4)])
+    got = {r.id: r.cluster for r in themes.spherical_kmeans(df, 4)[0].collect()}
+    assert [got[i] for i in range(60)] == a.tolist()
+
+
+def test_robots(spark):
+    rules = spark.createDataFrame([("/", False), ("/open", True)], "prefix string, allow boolean")
+    paths = spark.createDataFrame([("/open/x",), ("/shut",), ("none",)], "path string")
+    assert {r.path: r.allowed for r in ingest.robots_allowed(paths, rules).collect()} == {"/open/x": True, "/shut": False, "none": True}
+
+
+def test_incremental_upsert(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], "id long, seq long, v string").schema
+    for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")]]):
+        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "seq", "v"), r, strict=True))) for r in rows))
+        follow(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state", "id", ["seq"]).awaitTermination()
+    assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/batch=1").collect()} == {1: "c", 2: "b"}
