@@ -20,9 +20,9 @@ BLOCK = 256
 
 
 def _sketch(items: DataFrame, size: int) -> DataFrame:
-    """(id, text) -> id, n_shingles, s1, s2 (name of the set), keys (one per band), odd (sizes and bitmap)."""
+    """(id, text) -> id, n_shingles, s1, s2 (name of the set), keys (one per band)."""
     fields = [items.schema["id"], *[T.StructField(c, T.LongType()) for c in ("n_shingles", "s1", "s2")]]
-    schema = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())])
+    schema = T.StructType([*fields, T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher = Sketcher(BANDS, ROWS)
@@ -34,31 +34,45 @@ def _sketch(items: DataFrame, size: int) -> DataFrame:
                 full = np.flatnonzero(count)
                 named = np.zeros((last - first, 2), dtype=np.int64)
                 keys = np.zeros((last - first, BANDS), dtype=np.int64)
-                odd: list[bytes | None] = [None] * (last - first)
                 if len(full):
                     own = np.append(offsets[full], offsets[-1])
                     named[full] = set_names(sets, own)
                     keys[full] = sketcher.band_keys(sketcher.samples(sets, own))
-                    for i, sketch in zip(full.tolist(), odd_sketches(sets, own), strict=True):
-                        odd[i] = sketch
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(last - first + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(count.astype(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), lists, pa.array(odd, pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([ids.slice(first, last - first), pa.array(count.astype(np.int64)), pa.array(named[:, 0]), pa.array(named[:, 1]), key_lists(keys)], names=schema.names)
 
     return items.select("id", "text").mapInArrow(run, schema)
 
 
+def key_lists(keys: np.ndarray) -> pa.Array:
+    """The band keys of each set, from a matrix, as lists."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
+
+
+def full_sets(ids: pa.Array, sets: np.ndarray, offsets: np.ndarray, sketcher: Sketcher) -> pa.RecordBatch:
+    """id, set (sorted 64-bit hashes), odd (sizes and bitmap) and keys (one per band) of non-empty sets."""
+    raw, at = sets.tobytes(), (8 * offsets).tolist()
+    packed = pa.array([raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+    keys = sketcher.band_keys(sketcher.samples(sets, offsets)) if len(ids) else np.zeros((0, sketcher.bands), np.int64)
+    return pa.RecordBatch.from_arrays([ids, packed, pa.array(odd_sketches(sets, offsets), pa.binary()), key_lists(keys)], names=["id", "set", "odd", "keys"])
+
+
+def sets_schema(kind: T.DataType) -> T.StructType:
+    """Of full_sets(), for ids of a type."""
+    return T.StructType([T.StructField("id", kind), T.StructField("set", T.BinaryType()), T.StructField("odd", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+
+
 def _sets(items: DataFrame, size: int) -> DataFrame:
-    """(id, text) -> id, set (sorted 64-bit hashes)."""
-    schema = T.StructType([items.schema["id"], T.StructField("set", T.BinaryType())])
+    """(id, text) of texts with words -> full_sets()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(BANDS, ROWS)
         for batch in batches:
             for first, last, data, ends in pieces(batch.column("text")):
                 sets, offsets = shingle_sets(data, ends, size)
-                packed = [sets[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(first, last - first), pa.array(packed, pa.binary())], names=["id", "set"])
+                full = np.flatnonzero(np.diff(offsets))
+                yield full_sets(batch.column("id").slice(first, last - first).take(pa.array(full)), sets, np.append(offsets[full], offsets[-1]), sketcher)
 
-    return items.select("id", "text").mapInArrow(run, schema)
+    return items.select("id", "text").mapInArrow(run, sets_schema(items.schema["id"].dataType))
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -111,27 +125,26 @@ def _screen(pairs: DataFrame, odds: DataFrame, least: float) -> DataFrame:
 def _across(members: DataFrame, least: float) -> DataFrame:
     """Pairs of one bucket in different components that the odd sketches do not rule out.
 
-    members(band, key, id, odd, keys, comp, major): rows of a bucket's largest component are compared with
+    members(key, id, odd, keys, comp, major): rows of a bucket's largest component are compared with
     the others only, in cells of about BLOCK by BLOCK rows. Nothing is emitted but the pairs that pass, each
-    from the first band in which they meet.
+    from the first of their common keys.
     """
-    keys = ["band", "key"]
     minor = members.filter("comp != major")
-    left = minor.join(table(minor.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), keys)
+    left = minor.join(table(minor.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), "key")
     left = left.withColumn("i", F.pmod(F.xxhash64("id"), F.col("parts"))).drop("parts")
-    right = members.join(table(members.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), keys)
+    right = members.join(table(members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), "blocks"), "key")
     right = right.withColumn("j", F.pmod(F.xxhash64("id", F.lit(3)), F.col("parts"))).drop("parts")
-    rows, columns = table(left.select(*keys, "i").distinct(), "cells"), table(right.select(*keys, "j").distinct(), "cells")
-    sides = [left.join(columns, keys).withColumn("side", F.lit(0)), right.join(rows, keys).withColumn("side", F.lit(1))]
-    cell = F.xxhash64(*keys, "i", "j").alias("cell")
-    both = table(union_all([x.select(cell, "side", "band", "id", "comp", "odd", "keys", (F.col("comp") == F.col("major")).alias("most")) for x in sides]), "cells")
+    rows, columns = table(left.select("key", "i").distinct(), "cells"), table(right.select("key", "j").distinct(), "cells")
+    sides = [left.join(columns, "key").withColumn("side", F.lit(0)), right.join(rows, "key").withColumn("side", F.lit(1))]
+    cell = F.xxhash64("key", "i", "j").alias("cell")
+    both = table(union_all([x.select(cell, "side", "key", "id", "comp", "odd", "keys", (F.col("comp") == F.col("major")).alias("most")) for x in sides]), "cells")
     # many cells are small: a task's call gets a batch of whole cells
     batches = max(1, both.count() // (8 * BLOCK))
     schema = T.StructType([T.StructField(c, members.schema["id"].dataType) for c in ("a", "b")])
 
     def run(cells: pa.Table) -> pa.Table:
         cells = cells.combine_chunks()
-        cell, side, band = (cells[c].to_numpy() for c in ("cell", "side", "band"))
+        cell, side, key = (cells[c].to_numpy() for c in ("cell", "side", "key"))
         most = cells["most"].to_numpy(zero_copy_only=False).astype(bool)
         comp, rank = (np.unique(cells[c].to_numpy(zero_copy_only=False), return_inverse=True)[1] for c in ("comp", "id"))
         keys = cells["keys"].combine_chunks().flatten().to_numpy().reshape(len(cell), -1)
@@ -156,9 +169,9 @@ def _across(members: DataFrame, least: float) -> DataFrame:
                     z = np.bitwise_count(bitmap[u][:, None, :] ^ bitmap[y][None, :, :]).sum(axis=2, dtype=np.int64)
                     ok &= may_reach(least, z, n[u][:, None], n[y][None, :], samples[u][:, None], samples[y][None, :])
                 i, j = np.nonzero(ok)
-                first = band[own[0]]
-                if first and len(i):
-                    new = ~(keys[u[i], :first] == keys[y[j], :first]).any(axis=1)
+                if len(i):
+                    first = (keys[u[i]] == keys[y[j]]).argmax(axis=1)
+                    new = keys[u[i], first] == key[own[0]]
                     i, j = i[new], j[new]
                 found_a.append(u[i])
                 found_b.append(y[j])
@@ -170,13 +183,6 @@ def _across(members: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _classes(sk: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """Component of every item, through the class of its set."""
-    by_set = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id"))
-    joined = sk.select("id", "n_shingles", "s1", "s2").join(table(by_set, "by-set"), ["s1", "s2"], "left")
-    return joined.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-
-
 def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:
     """(id, text), ids unique and not null -> id, n_shingles, component_id.
 
@@ -192,24 +198,33 @@ def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -
     """
     sk = table(_sketch(items, size), "sketches")
     # ids grow with the input: the same join at every size
-    return link_classes(sk, lambda ids: _sets(items.join(ids.hint("merge"), "id", "left_semi"), size), percent)
-
-
-def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """Components of sketched items (id, n_shingles, s1, s2, keys, odd); sets_of(ids) gives id, set."""
-    least = percent / 100
-    full = sk.filter("n_shingles > 0")
-    classes = table(full.groupBy("s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "keys", "odd")
-    banded = reps.select("id", F.posexplode("keys").alias("band", "key"))
-    buckets = banded.groupBy("band", "key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    buckets = table(buckets.select("band", "key", "hub"), "buckets")
-    members = table(banded.join(buckets, ["band", "key"]), "members")
-    odds = table(reps.join(members.select("id").distinct(), "id", "left_semi").select("id", "odd", "keys"), "odds")
-    sets = table(sets_of(odds.select("id")), "sets")
-    release(sk.sparkSession)
+    by_set = link_classes(sk, lambda ids: _sets(items.join(ids.hint("merge"), "id", "left_semi"), size), percent)
+    joined = sk.select("id", "n_shingles", "s1", "s2").join(by_set, ["s1", "s2"], "left")
+    return joined.select("id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id").alias("component_id"))
+
+
+def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int = BANDS) -> DataFrame:
+    """Components of sketched items (id, n_shingles, s1, s2, keys): s1, s2, component_id of the sets that are not alone.
+
+    Two items of one set make a component, and so do two linked sets. sets_of(ids) gives full_sets(); it is
+    asked only for sets that share a bucket.
+    """
+    spark, least = sk.sparkSession, percent / 100
+    # equal sets have equal keys: columns of integers keep this a hash aggregation
+    keys = [f"k{j}" for j in range(bands)]
+    full = sk.filter("n_shingles > 0").select("id", "s1", "s2", *[F.col("keys")[j].alias(k) for j, k in enumerate(keys)])
+    grouped = full.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys])
+    classes = table(grouped, "classes")
+    release(spark)
+    banded = classes.select(F.col("rep").alias("id"), F.explode(F.array(*keys)).alias("key"))
+    buckets = table(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("key", "hub"), "buckets")
+    release(spark)
+    members = table(banded.join(buckets, "key"), "members")
+    release(spark)
+    sets = table(sets_of(members.select("id").distinct()), "sets")
+    release(spark)
     star = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    star = table(_screen(star, odds, least), "stars")
+    star = table(_screen(star, sets, least), "stars")
     best = star.groupBy("a").agg(F.min(F.struct("z", "b")).alias("m")).select("a", "m.b")
     edges = table(_confirm(best, sets, percent), "links")
     found = components(edges)
@@ -222,20 +237,22 @@ def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     more = table(_confirm(rest, sets, percent), "links")
     found = components(edges.unionAll(more))
     # buckets with members in several components: the pairs across, without those already judged
-    placed = table(where(members.select("band", "key", "id"), "id", "comp"), "placed")
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
-    mixed = table(placed.join(table(mixed.select("band", "key"), "mixed"), ["band", "key"]), "mixed")
-    if not mixed.limit(1).count():
-        return _classes(sk, classes, found)
-    sizes = mixed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"))
-    major = table(sizes.groupBy("band", "key").agg(F.max(F.struct("n", "comp")).alias("m")).select("band", "key", F.col("m.comp").alias("major")), "major")
-    across = _across(mixed.join(major, ["band", "key"]).join(odds, "id"), least)
-    last = table(_confirm(across.join(star.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links")
-    if last.limit(1).count():
-        found = components(union_all([edges, more, last]))
-    for t in (buckets, members, sets, star, placed, mixed):
+    placed = table(where(members.select("key", "id"), "id", "comp"), "placed")
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi")
+    mixed = table(placed.join(table(mixed.select("key"), "mixed"), "key"), "mixed")
+    if mixed.limit(1).count():
+        sizes = mixed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+        major = table(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("m")).select("key", F.col("m.comp").alias("major")), "major")
+        across = _across(mixed.join(major, "key").join(sets.select("id", "odd", "keys"), "id"), least)
+        last = table(_confirm(across.join(star.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links")
+        if last.limit(1).count():
+            found = components(union_all([edges, more, last]))
+    joined = classes.select("s1", "s2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    out = table(joined.filter("n > 1 or component_id is not null").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id")), "by-set")
+    for t in (classes, buckets, members, sets, star, placed, mixed):
         drop_table(t)
-    return _classes(sk, classes, found)
+    release(spark)
+    return out
 
 
 def mark_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm._common import drop_table, key_of, load, release, table
-from terrane.llm._shingles import Sketcher, mix, odd_sketches, pieces, powers, prefix_hash, set_names, shingle_sets, words
-from terrane.llm.minhash import link_classes
+from terrane.llm._shingles import Sketcher, mix, pieces, powers, prefix_hash, set_names, shingle_sets, words
+from terrane.llm.minhash import full_sets, key_lists, link_classes, sets_schema
 
-#: Three bands of one sample: two paragraphs of similarity 0.8 share none with probability 0.008.
-BANDS, ROWS = 3, 1
+#: Five bands of two samples: two paragraphs of similarity 0.8 share none with probability 0.006.
+BANDS, ROWS = 5, 2
 #: Paragraphs of fewer words are not compared; runs of repeated ones under RUN_WORDS words stay.
 LEAST_WORDS, RUN_WORDS = 8, 30
 
@@ -43,9 +43,9 @@ def paragraph_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
-    """(i, t, text) -> id, i, t, k (number in the text) and the sketch of every paragraph of least_words words."""
+    """(i, t, text) -> id, i, t, k (number in the text) and the band keys of every paragraph of least_words words."""
     fields = [(c, T.LongType()) for c in ("id", "i", "t")] + [("k", T.IntegerType())] + [(c, T.LongType()) for c in ("n_shingles", "s1", "s2")]
-    schema = T.StructType([*[T.StructField(*f) for f in fields], T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("odd", T.BinaryType())])
+    schema = T.StructType([*[T.StructField(*f) for f in fields], T.StructField("keys", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, here, done = Sketcher(BANDS, ROWS), TaskContext.get().partitionId() << 40, 0
@@ -64,9 +64,8 @@ def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
                 done += len(use)
                 name = set_names(sets, offsets)
                 keys = sketcher.band_keys(sketcher.samples(sets, offsets))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(use) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
                 cols = [ids, i[first + of[use]], t[first + of[use]], number.astype(np.int32), np.diff(offsets).astype(np.int64), name[:, 0], name[:, 1]]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], lists, pa.array(odd_sketches(sets, offsets), pa.binary())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in cols], key_lists(keys)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -78,9 +77,10 @@ def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _sets_of(texts: DataFrame, size: int) -> DataFrame:
-    """(text, at: [k, id]) -> id, set."""
+    """(text, at: [k, id]) -> full_sets()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sketcher = Sketcher(BANDS, ROWS)
         for batch in batches:
             for first, last, data, ends in pieces(batch.column("text")):
                 at, of, _ = paragraph_ends(data, ends)
@@ -88,10 +88,10 @@ def _sets_of(texts: DataFrame, size: int) -> DataFrame:
                 wanted = batch.column("at").slice(first, last - first)
                 n = np.diff(wanted.offsets.to_numpy())
                 k = wanted.flatten().field(0).to_numpy() + np.repeat(np.searchsorted(of, np.arange(last - first)), n)
-                raw, a, b = sets.tobytes(), (8 * offsets[k]).tolist(), (8 * offsets[k + 1]).tolist()
-                yield pa.RecordBatch.from_arrays([wanted.flatten().field(1), pa.array([raw[x:y] for x, y in zip(a, b, strict=True)], pa.binary())], names=["id", "set"])
+                own = np.concatenate([[0], np.cumsum(offsets[k + 1] - offsets[k])])
+                yield full_sets(wanted.flatten().field(1), sets[_spread(offsets[k], offsets[k + 1])], own, sketcher)
 
-    return texts.select("text", "at").mapInArrow(run, "id long, set binary")
+    return texts.select("text", "at").mapInArrow(run, sets_schema(T.LongType()))
 
 
 def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5, least_words: int = LEAST_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
@@ -113,12 +113,12 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
         places = sk.select("id", "i", "t", "k").join(ids, "id", "left_semi").groupBy("i", "t").agg(F.collect_list(F.struct("k", "id")).alias("at"))
         return _sets_of(texts.join(table(places, "places").hint("merge"), ["i", "t"]), size)
 
-    linked = link_classes(sk, sets_of, percent).select("id", "component_id")
-    placed = table(sk.select("id", "i", "t", "k").join(linked, "id").select("i", "t", "k", "component_id"), "placed")
+    linked = link_classes(sk, sets_of, percent, BANDS)
+    placed = table(sk.select("s1", "s2", "i", "t", "k").join(linked, ["s1", "s2"]).select("i", "t", "k", "component_id"), "placed")
     drop_table(sk)
     release(spark)
-    first = placed.groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("i", "k")).alias("keep")).filter("n > 1")
-    repeated = placed.join(table(first.select("component_id", "keep"), "first"), "component_id").filter("i != keep.i or k != keep.k")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("i", "k")).alias("keep"))
+    repeated = placed.join(table(first, "first"), "component_id").filter("i != keep.i or k != keep.k")
     marks = repeated.groupBy("i", "t").agg(F.collect_set(F.struct("k", F.col("keep.i").alias("by"))).alias("at"))
     joined = texts.join(table(marks, "marks").hint("merge"), ["i", "t"], "left")
     release(spark)
