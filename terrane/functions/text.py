@@ -83,7 +83,7 @@ def valid_label(name: Column | str, description: Column | str) -> Column:
     """Four to eight words without / , ; |, and a full sentence that does not begin with "Research on" (K9)."""
     name, description = (F.col(c) if isinstance(c, str) else c for c in (name, description))
     n = F.size(F.filter(F.split(F.trim(name), r"\s+"), lambda w: w != ""))
-    return n.between(4, 8) & ~name.rlike(r"[/,;|]") & (F.trim(description) != "") & ~description.rlike("(?i)^Research on") & description.rlike(r"[.!?]$")
+    return n.between(4, 8) & ~name.rlike(r"[/,;|]") & ~description.rlike(r"(?i)^Research on\b") & description.rlike(r"[.!?]\s*$")
 
 
 def as_double(vector: Column | str) -> Column:

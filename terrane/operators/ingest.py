@@ -30,10 +30,13 @@ def guard(works: DataFrame) -> DataFrame:
 
 
 def proof(people: DataFrame, works: DataFrame) -> DataFrame:
-    """One row, or an error unless there are a real name, a real title and a person with a work."""
+    """One row, or an error unless there are a real name, a real title and a person with a work.
+
+    A real title has eight characters or more and does not call itself a research paper or publication.
+    """
     real = F.coalesce(F.bool_or(F.col("name").rlike(r"^[\p{L}][\p{L} .,'’()-]{2,}$")), F.lit(False))
     p = people.agg(real.alias("names"), F.coalesce(F.bool_or(F.size("publications") > 0), F.lit(False)).alias("works"))
-    t = works.agg(F.coalesce(F.bool_or(F.trim("title") != ""), F.lit(False)).alias("titles"))
+    t = works.agg(F.coalesce(F.bool_or((F.length("title") >= 8) & ~F.col("title").rlike("(?i)^research (paper|publication)")), F.lit(False)).alias("titles"))
     ok = F.col("names") & F.col("works") & F.col("titles")
     return p.crossJoin(t).select(F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit("no proof of real data")).cast("boolean")).alias("proved"))
 

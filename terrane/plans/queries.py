@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import text as X
-from terrane.operators import graph, ingest, lexical, people, themes
+from terrane.operators import corpus, encode, graph, ingest, lexical, matching, people, themes
 from terrane.sources import tables as S
 
 
@@ -208,10 +208,8 @@ def theme_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _faculty(spark: SparkSession, d: str, api: bool = True) -> DataFrame:
-    s = people.signals(S.authorship(spark, d), S.works(spark, d), S.CUTOFF).withColumnRenamed("author", "id")
-    fit = F.col("fit") if api else F.col("direct")
-    score = 0.55 * fit + 0.25 * F.col("direct") + 0.12 * people.recency(S.AS_OF) + 0.08 * people.output()
-    return _fit(spark, d).join(s, "id").select("id", F.round(score, 6).alias("score"))
+    s = people.signals(S.authorship(spark, d), S.works(spark, d), S.CUTOFF)
+    return matching.faculty_scores(_fit(spark, d), s, S.AS_OF, lexical=not api).select("id", r6("score"))
 
 
 def faculty_ranking_api(spark: SparkSession, d: str) -> DataFrame:
@@ -296,3 +294,75 @@ def label_propagation(spark: SparkSession, d: str) -> DataFrame:
 def group_metrics(spark: SparkSession, d: str) -> DataFrame:
     m = graph.group_metrics(label_propagation(spark, d), _edges(spark, d), S.authorship(spark, d), S.works(spark, d), S.CUTOFF)
     return m.select("community", "n_members", "n_works", r6("cohesion"), r6("recency"), "lead")
+
+
+def _groups(spark: SparkSession, d: str) -> DataFrame:
+    """Brands as groups of their parts."""
+    return S.table(spark, d, "part").select(F.col("p_brand").alias("group"), F.col("p_partkey").alias("author"))
+
+
+def faculty_ranking_open(spark: SparkSession, d: str) -> DataFrame:
+    """People who are open get 0.1 more: parts of size 1 by override, all others by their flag."""
+    over = S.table(spark, d, "part").select(F.col("p_partkey").alias("author"), (F.col("p_size") == 1).alias("is_open"))
+    is_open = people.open_people(people.signals(S.authorship(spark, d), S.works(spark, d), S.CUTOFF), over)
+    return matching.faculty_matches(_faculty(spark, d), open_people=is_open).select("id", r6("score"), "rank")
+
+
+def group_ranking_by_theme(spark: SparkSession, d: str) -> DataFrame:
+    """Brands by the score of their theme for label 0."""
+    scores = theme_ranking_neural(spark, d).filter("q = 0").select("theme", "score")
+    best = matching.group_themes(_groups(spark, d), _units(spark, d), _centers(spark, d).withColumnRenamed("label", "theme"))
+    return matching.group_matches_by_theme(best.select("group", "theme"), scores)
+
+
+def group_themes(spark: SparkSession, d: str) -> DataFrame:
+    best = matching.group_themes(_groups(spark, d), _units(spark, d), _centers(spark, d).withColumnRenamed("label", "theme"))
+    return best.select("group", "theme", r6("score"))
+
+
+def group_works(spark: SparkSession, d: str) -> DataFrame:
+    return matching.group_works(_groups(spark, d), S.authorship(spark, d).select("work", "author"), S.works(spark, d))
+
+
+def student_ranking_ui(spark: SparkSession, d: str) -> DataFrame:
+    """The six best texts for passage 0, not clamped."""
+    s = _scores(spark, d).filter("q = 0").select("id", r6("score"))
+    return matching.student_matches(s, 6, clamp=False)
+
+
+def nearest_theme_of_text(spark: SparkSession, d: str) -> DataFrame:
+    """The best source of every passage with three known words."""
+    t = theme_ranking_lexical(spark, d).join(sparse_query_guard(spark, d).select(F.col("id").alias("q")), "q", "left_semi")
+    return lexical.best_first(t, ["q"], [F.desc("score"), "source"]).select("q", "source", "score")
+
+
+def theme_keys(spark: SparkSession, d: str) -> DataFrame:
+    works = F.split("representative_publications", ",")
+    return theme_rollup(spark, d).select("theme", matching.theme_key("hashed-64", works).alias("key"))
+
+
+def coauthor_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Everyone's co-authors by shared works."""
+    lists = corpus.coauthor_lists(coauthor_rollup(spark, d), S.people(spark, d))
+    return lists.select("author", F.posexplode("coauthors").alias("pos", "c")).select("author", "pos", F.col("c.id").alias("id"), F.col("c.n").alias("n"), F.col("c.latest").alias("latest"))
+
+
+def evidence_projects(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as projects of their authors; those stay whose text, the name of the first part, holds the name of an author."""
+    a = S.authorship(spark, d).select(F.col("work").alias("project"), "author", "pos")
+    names = S.table(spark, d, "part").select(F.col("p_partkey").alias("author"), F.col("p_name").alias("title"))
+    lists = a.groupBy("project").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "author"))), lambda s: s["author"]).alias("person_ids"))
+    texts = a.filter("pos = 1").join(names, "author").select("project", F.col("title").alias("text"))
+    rows = a.select("project", "author").join(texts, "project")
+    titles = names.select("author", F.lower("title").alias("title"))
+    out = corpus.cleaned_projects(lists, people.evidence(rows, titles).select("project").distinct(), people.evidence(rows, titles, None))
+    return out.select("project", F.posexplode("person_ids").alias("pos", "author"))
+
+
+def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every document by the lexical encoder, chunk by chunk, as its known dimensions. The vocabulary has 384 rows."""
+    docs = S.texts(spark, d)
+    vocab = lexical.vocabulary(docs).orderBy("term").collect()
+    coder = encode.LexicalEncoder(tuple(r["term"] for r in vocab), tuple(r["idf"] for r in vocab))
+    rows = encode.encode(docs, lambda: coder).select("id", F.posexplode("vec").alias("dim", "x"))
+    return rows.filter("x != 0").select("id", "dim", r6("x"))

@@ -76,6 +76,11 @@ rolled AS (SELECT r.*, coalesce(f.k, 0) AS faculty_count, t.representative_publi
   JOIN (SELECT theme, string_agg(id::VARCHAR, ',' ORDER BY r) AS representative_publications FROM rk WHERE r <= 5 GROUP BY theme) t USING (theme)),
 toa AS (SELECT DISTINCT author, theme FROM auth JOIN near ON id = work)
 """
+_GROUPS = """
+mean AS (SELECT p_brand AS "group", d, avg(vec[d + 1]) AS x FROM part JOIN units ON id = p_partkey, (SELECT unnest(range(64)) AS d) GROUP BY ALL),
+gs AS (SELECT "group", label AS theme, sum(x * vec[d + 1]) AS score FROM mean, cents GROUP BY ALL),
+gt AS (SELECT "group", theme, score FROM gs QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY round(score, 12) DESC, theme) = 1)
+"""
 
 ORACLE_SQL = {
     "token_counts": f"WITH {_SPACE} SELECT id, term, n, round(1 + ln(n), 6) AS tf FROM cnt",
@@ -133,4 +138,25 @@ ORACLE_SQL = {
     "label_validation": r"""WITH p AS (SELECT doc_id AS id, string_split(text, chr(10))[1] AS line FROM documents)
       SELECT id, len(list_filter(regexp_split_to_array(trim(line), '\s+'), lambda w: w <> '')) BETWEEN 4 AND 8 AND NOT regexp_matches(line, '[/,;|]')
         AND NOT regexp_matches(line || '.', '(?i)^Research on') AS valid FROM p""",
+    "faculty_ranking_open": f"""WITH {_VEC}, {_FIT}, {_AUTH}, {_SIG}, {_faculty('fit').replace(' ORDER BY score DESC, id LIMIT 12', '')},
+      b AS (SELECT id, round(score + CASE WHEN p_size = 1 THEN 0.1::DOUBLE ELSE 0 END, 6) AS score FROM ranked LEFT JOIN part ON p_partkey = id)
+      SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM b ORDER BY score DESC, id LIMIT 12""",
+    "group_themes": f"WITH {_VEC}, {_GROUPS} SELECT \"group\", theme, round(score, 6) AS score FROM gt",
+    "group_ranking_by_theme": f"""WITH {_VEC}, {_GROUPS},
+      tn AS (SELECT b.label AS theme, round(list_dot_product(a.vec, b.vec), 6) AS score FROM cents a, cents b WHERE a.label = 0)
+      SELECT "group", theme, tn.score, row_number() OVER (ORDER BY tn.score DESC, "group")::INTEGER AS rank FROM gt JOIN tn USING (theme) ORDER BY tn.score DESC, "group" LIMIT 6""",
+    "group_works": f"""WITH {_AUTH}, s AS (SELECT p_brand AS "group", work, any_value(year) AS year FROM auth JOIN part ON p_partkey = author JOIN works USING (work)
+      GROUP BY ALL HAVING count(*) >= 2)
+      SELECT "group", work, year, row_number() OVER (PARTITION BY "group" ORDER BY year DESC, work)::INTEGER AS rank FROM s""",
+    "student_ranking_ui": f"""WITH {_SPACE}, s AS (SELECT id, round(score, 6) AS score FROM scores WHERE q = 0)
+      SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s ORDER BY score DESC, id LIMIT 6""",
+    "nearest_theme_of_text": f"""WITH {_SPACE}, {_THEMES} SELECT q, source, score FROM tl WHERE q IN (SELECT q FROM qvec GROUP BY q HAVING count(*) >= 3)
+      QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, source) = 1""",
+    "theme_keys": f"WITH {_VEC}, {_AUTH}, {_ROLL} SELECT theme, 'hashed-64:' || representative_publications AS key FROM rolled",
+    "coauthor_lists": f"""WITH {_AUTH}, {_PAIRS}, sides AS (SELECT a AS author, b AS id, n, latest FROM pairs UNION ALL SELECT b, a, n, latest FROM pairs)
+      SELECT author, (row_number() OVER (PARTITION BY author ORDER BY n DESC, id) - 1)::INTEGER AS pos, id, n, latest FROM sides
+      WHERE author IN (SELECT p_partkey FROM part) AND id IN (SELECT p_partkey FROM part)""",
+    "evidence_projects": f"""WITH {_AUTH}, t AS (SELECT work, p_name AS text FROM auth JOIN part ON p_partkey = author WHERE pos = 1),
+      e AS (SELECT work, author, pos, length(p_name) AS len FROM auth JOIN t USING (work) JOIN part ON p_partkey = author WHERE contains(lower(text), lower(p_name)))
+      SELECT work AS project, (row_number() OVER (PARTITION BY work ORDER BY pos) - 1)::INTEGER AS pos, author FROM e WHERE work IN (SELECT work FROM e WHERE len > 8)""",
 }
