@@ -30,7 +30,7 @@ def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def propagate(pdf: pd.DataFrame, rounds: int = 40) -> pd.DataFrame:
-    """Label propagation within one component (a, b, n), node by node in order of ids.
+    """Label propagation within whole components (a, b, n), node by node in order of ids.
 
     A node takes the label of the largest summed weight around it, ties to the least label; changes hold at
     once; it ends when a round changes nothing.
@@ -53,10 +53,16 @@ def propagate(pdf: pd.DataFrame, rounds: int = 40) -> pd.DataFrame:
     return pd.DataFrame({"node": nodes, "community": [label[v] for v in nodes]})
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """node, community. Labels never leave a component, so components run side by side; their size bounds a task."""
+def communities(edges: DataFrame, batch: int = 1 << 16) -> DataFrame:
+    """node, community. Labels never leave a component, so components run side by side.
+
+    A task's call gets a batch of whole components of about `batch` edges; only a larger component makes a larger one.
+    """
+    edges = _shared(edges.select("a", "b", "n"))
     comp = connected(edges).select(F.col("node").alias("a"), "component")
-    return edges.join(comp, "a").groupBy("component").applyInPandas(lambda p: propagate(p), "node long, community long")
+    batches = max(1, edges.count() // batch)
+    placed = edges.join(comp, "a").withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(batches)))
+    return placed.drop("component").groupBy("batch").applyInPandas(lambda p: propagate(p), "node long, community long")
 
 
 def group_metrics(members: DataFrame, edges: DataFrame, authorship: DataFrame, works: DataFrame, cutoff: int, least: int = 2, most: int = 80) -> DataFrame:

@@ -35,8 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Sizes between which a table in few files is dealt out anew: less is one task's work, more is left to the scan.
+SPREAD_FROM, SPREAD_TO = 4 << 20, 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a scan would leave cores idle: fewer files than cores, of a size checked in the plan's statistics."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if SPREAD_FROM <= size <= SPREAD_TO and len(df.inputFiles()) < cores else df
+
+
 def texts(spark: SparkSession, sf_dir: str, name: str = "documents", key: str = "doc_id") -> DataFrame:
-    return table(spark, sf_dir, name).select(F.col(key).alias("id"), "text")
+    return spread(table(spark, sf_dir, name).select(F.col(key).alias("id"), "text"))
 
 
 def works(spark: SparkSession, sf_dir: str) -> DataFrame:
