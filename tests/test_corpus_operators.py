@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions import text as X
 from terrane.operators import graph, ingest, lexical, themes
-from terrane.streaming.incremental import follow
+from terrane.streaming.incremental import compact, current, follow
 
 
 def test_two_term_space(spark):
@@ -75,4 +75,9 @@ def test_incremental_upsert(spark, tmp_path):
     for n, rows in enumerate([[(1, 1, "a"), (2, 1, "b")], [(1, 2, "c")]]):
         (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps(dict(zip(("id", "seq", "v"), r, strict=True))) for r in rows))
         follow(spark, f"{tmp_path}/in", schema, f"{tmp_path}/out", f"{tmp_path}/state", "id", ["seq"]).awaitTermination()
-    assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/batch=1").collect()} == {1: "c", 2: "b"}
+    assert {r.id: r.v for r in spark.read.parquet(f"{tmp_path}/out/batch=1").collect()} == {1: "c"}
+    assert {r.id: r.v for r in current(spark, schema, f"{tmp_path}/out", "id", ["seq"]).collect()} == {1: "c", 2: "b"}
+    assert compact(spark, schema, f"{tmp_path}/out", f"{tmp_path}/new", "id", ["seq"]) == 1
+    (tmp_path / "in" / "2.json").write_text(json.dumps({"id": 2, "seq": 1, "v": "later"}))
+    follow(spark, f"{tmp_path}/in", schema, f"{tmp_path}/new", f"{tmp_path}/state", "id", ["seq"]).awaitTermination()
+    assert {r.id: r.v for r in current(spark, schema, f"{tmp_path}/new", "id", ["seq"]).collect()} == {1: "c", 2: "later"}
