@@ -271,3 +271,26 @@ def mark_near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5) -> D
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept; links at 85 percent."""
     return mark_near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))
+         WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(id, r) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept
+FROM least LEFT JOIN sizes ON sizes.doc_id = id
+"""

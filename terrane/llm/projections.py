@@ -188,3 +188,21 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
 def op7_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept; links at a cosine of 0.93."""
     return link_vectors(load(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.93::DOUBLE),
+reach(id, r) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT reach.id, links.b FROM reach JOIN links ON links.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM least LEFT JOIN counts ON counts.a = id
+"""

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from terrane.llm.line_dedup import OP4_SQL, op4_line_dedup
-from terrane.llm.minhash import op6_minhash
+from terrane.llm.minhash import OP6_SQL, op6_minhash
 from terrane.llm.mixing import op2_mixing
 from terrane.llm.packing import op9_packing
 from terrane.llm.paragraphs import op8_paragraphs
-from terrane.llm.projections import op7_projections
+from terrane.llm.projections import OP7_SQL, op7_projections
 from terrane.llm.quality import op5_quality
 from terrane.llm.sharding import op10_sharding
 from terrane.llm.substrings import op3_substrings
@@ -32,6 +32,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op7_projections": OP7_SQL}
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

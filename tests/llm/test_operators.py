@@ -8,11 +8,12 @@ import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from terrane.llm import line_dedup, minhash, mixing, packing, paragraphs, projections, quality, sharding, substrings, toxicity
+from terrane.llm import line_dedup, minhash, mixing, packing, paragraphs, projections, quality, registry, sharding, substrings, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -279,6 +280,17 @@ def test_fold():
     assert toxicity.fold("1D10T! іdiоt") == " idiot  idiot "
 
 
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
+def test_same_rows_as_sql(spark, name):
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(registry.ORACLE_SQL[name])
+    got = registry.QUERIES[name](spark, sf)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
