@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrane.llm._common import key_of, load, table
+from terrane.llm._common import NO_ID, load, table
 from terrane.llm.line_dedup import drop_shared_lines
 from terrane.llm.minhash import mark_near_duplicates
 from terrane.llm.mixing import mix_sources
@@ -18,11 +18,21 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ORACLE_SQL = None
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """The documents and their key _k: the id, or for rows without one a number far below all ids, made of their values.
+
+    So documents without ids are judged each by itself, and only equal ones are one document.
+    """
+    own = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text", "lang", "source"), 2)
+    return docs.select(*COLUMNS, F.coalesce("doc_id", own).alias("_k"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Rows with one id go or stay together: all must be kept."""
-    verdict = judge(docs)
-    gone = verdict.filter(~F.col("kept")).select(key_of("doc_id").alias("_k")).distinct()
-    return docs.select(*COLUMNS, key_of("doc_id").alias("_k")).join(table(gone, "rejected"), "_k", "left_anti").select(*COLUMNS)
+    named = _named(docs)
+    verdict = judge(named.withColumn("doc_id", F.col("_k")))
+    gone = verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct()
+    return named.join(table(gone, "rejected"), "_k", "left_anti").select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,18 +46,20 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id."""
-    marked = mark_near_duplicates(docs.select("doc_id", "text"))
-    gone = marked.filter(~F.col("kept")).select(key_of("doc_id").alias("_k")).distinct()
-    left = docs.select(*COLUMNS, key_of("doc_id").alias("_k")).join(table(gone, "copies"), "_k", "left_anti")
-    return left.dropDuplicates(["_k"]).select(*COLUMNS)
+    """One document of each group of near duplicates, that of the smallest id; of repeated rows, one."""
+    named = _named(docs)
+    marked = mark_near_duplicates(named.select(F.col("_k").alias("doc_id"), "text"))
+    gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct()
+    left = named.join(table(gone, "copies"), "_k", "left_anti").withColumn("_t", F.xxhash64("text"))
+    return left.dropDuplicates(["_k", "_t"]).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice."""
-    copies = mix_sources(docs.select("doc_id", "text", "source")).select(key_of("doc_id").alias("_k"), "copies")
+    named = _named(docs)
+    copies = mix_sources(named.select(F.col("_k").alias("doc_id"), "text", "source")).select(F.col("doc_id").alias("_k"), "copies")
     copies = copies.groupBy("_k").agg(F.max("copies").alias("copies")).filter("copies > 0")
-    out = docs.select(*COLUMNS, key_of("doc_id").alias("_k")).join(table(copies, "taken"), "_k")
+    out = named.join(table(copies, "taken"), "_k")
     return out.withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
