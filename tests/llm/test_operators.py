@@ -302,6 +302,20 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_documents_without_ids(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(9)
+    clean = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(90)) for _ in range(3)]
+    rows = [(None, t, "en", "a", 0) for t in [*clean, clean[0], clean[1] + " end", "too short"]] + [(7, clean[2] + " more", "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    judged = p.quality_rules(spark, docs, "")
+    assert sorted(r.text for r in judged.collect()) == sorted(r[1] for r in rows if r[1] != "too short")
+    left = [r.text for r in p.near_dedup(spark, judged, "").collect()]
+    assert left.count(clean[0]) == 1 and len({clean[1], rows[4][1]} & set(left)) == 1 and len({clean[2], rows[6][1]} & set(left)) == 1 and len(left) == 3
+    assert p.mixing(spark, judged, "").count() > 0
+
+
 def test_kept_hash(spark):
     text = "short line\nother"
     out = line_dedup.drop_shared_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
