@@ -10,6 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from terrane.llm._common import drop_table, key_of, load, release, table
 from terrane.llm._shingles import Sketcher, mix, pieces, powers, prefix_hash, set_names, shingle_sets, words
@@ -19,29 +20,116 @@ from terrane.llm.minhash import full_sets, key_lists, link_classes, sets_schema
 BANDS, ROWS = 5, 2
 #: Paragraphs of fewer words are not compared; runs of repeated ones under RUN_WORDS words stay.
 LEAST_WORDS, RUN_WORDS = 8, 30
+#: Places on either side that a paragraph's end ranks before, and words around a kept paragraph to compare others with.
+REACH, CONTEXT = 7, 48
 
 
 def paragraph_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of all paragraphs, text number and word count of each.
 
-    A paragraph ends with a line, with a word that ends in a full stop, or where the hash of two words says
-    so (one place in 64), so a passage is cut alike wherever it stands, also within a line.
+    Every place between two words has a rank: the ends of lines and words that end in a full stop come first,
+    then all others, each by the hash of its two words. A paragraph ends at the places that rank first among the
+    REACH places on either side. So short sentences are joined, long ones are cut, none but a text's first and
+    last has under REACH + 1 words, and a passage is cut alike wherever it stands but for its REACH words next
+    to the host's.
     """
     start, end, owner = words(data, ends)
     cuts = [ends]
-    if len(start):
+    if len(start) > 1:
         total, (_, down) = prefix_hash(data), powers(len(data))
         word = mix((total[end] - total[start]) * down[start])
-        stop = data[end - 1] == ord(".")
-        if len(word) > 1:
-            stop[:-1] |= mix(word[:-1] * np.uint64(3) + word[1:]) & np.uint64(63) == 0
-        cuts += [end[stop], np.flatnonzero(data == 10) + 1]
+        feeds = np.append(np.flatnonzero(data == 10) + 1, len(data) + 1)
+        line = feeds[np.searchsorted(feeds, end[:-1], side="right")]
+        lines = line <= start[1:]
+        rank = mix(word[:-1] * np.uint64(3) + word[1:]) >> np.uint64(1)
+        rank |= (~(lines | (data[end[:-1] - 1] == ord(".")))).astype(np.uint64) << np.uint64(63)
+        inside = owner[:-1] == owner[1:]
+        first = inside.copy()
+        for j in range(1, min(REACH, len(rank) - 1) + 1):
+            # places of one text; of equal ones the earlier is first
+            near = inside[:-j] & inside[j:] & (owner[: len(rank) - j] == owner[j : len(rank)])
+            later = rank[j:] < rank[:-j]
+            first[:-j] &= ~(near & later)
+            first[j:] &= ~(near & ~later)
+        cuts.append(np.where(lines, line, end[:-1])[first])
     at = np.unique(np.concatenate(cuts))
     of = np.searchsorted(ends, at[:-1], side="right") - 1
     count = np.diff(np.searchsorted(start, at)) if len(at) > 1 else np.zeros(0, np.int64)
     return at, of, count
 
 
+def word_names(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of every word and 32 bits that name it, A-Z as a-z."""
+    start, end, _ = words(data, ends)
+    total, (_, down) = prefix_hash(data), powers(len(data))
+    named = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return start, end, (named >> np.uint64(32)).astype("<u4")
+
+
+def _contexts(texts: DataFrame) -> DataFrame:
+    """(i, t, text, ks) -> i, t, k, before, after: the names of CONTEXT words on either side of the paragraphs ks."""
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, t, text, ks in zip(*[batch.column(c).to_pylist() for c in ("i", "t", "text", "ks")], strict=True):
+                data = np.frombuffer(text.encode(), dtype=np.uint8)
+                ends = np.array([0, len(data)])
+                at, _, _ = paragraph_ends(data, ends)
+                start, _, name = word_names(data, ends)
+                low = np.searchsorted(start, at)
+                rows += [(i, t, k, name[max(0, low[k] - CONTEXT) : low[k]].tobytes(), name[low[k + 1] : low[k + 1] + CONTEXT].tobytes()) for k in ks]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=pa.schema([("i", pa.int64()), ("t", pa.int64()), ("k", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]))
+
+    return texts.select("i", "t", "text", "ks").mapInArrow(run, schema)
+
+
+def _alike(x: np.ndarray, y: np.ndarray) -> int:
+    """Length of the common beginning."""
+    n = min(len(x), len(y))
+    other = np.flatnonzero(x[:n] != y[:n])
+    return int(other[0]) if len(other) else n
+
+
+def repeated_runs(data: np.ndarray, marks: list[dict], least_words: int, run_words: int) -> tuple[int, list[tuple[int, int, int, set[int]]]]:
+    """Of a text with marked paragraphs (k, by, before, after): its number of paragraphs, and the runs that go.
+
+    A run is first byte, byte after the last, whole paragraphs in it, documents that keep it. It goes on, word by
+    word, as long as the words around a marked paragraph are those around the kept one; of several documents that
+    keep a word the least counts.
+    """
+    ends = np.array([0, len(data)])
+    at, _, count = paragraph_ends(data, ends)
+    if not marks:
+        return len(count), []
+    start, end, name = word_names(data, ends)
+    low = np.searchsorted(start, at)
+    by = {m["k"]: m for m in sorted(marks, key=lambda m: (m["k"], m["by"]), reverse=True)}
+    runs: list[list[int]] = []  # first word, word after the last
+    least = np.full(len(start), np.iinfo(np.int64).max)  # of the documents that keep a word
+    for k in sorted(by):
+        m, a, b = by[k], int(low[k]), int(low[k + 1])
+        before, after = (np.frombuffer(m[c] or b"", dtype="<u4") for c in ("before", "after"))
+        a -= _alike(name[max(0, a - CONTEXT) : a][::-1], before[::-1])
+        b += _alike(name[b : b + CONTEXT], after)
+        least[a:b] = np.minimum(least[a:b], m["by"])
+        # fewer words than are compared between two of a run go with it
+        while runs and a - runs[-1][1] < least_words:
+            c, d = runs.pop()
+            a, b = min(a, c), max(b, d)
+        runs.append([a, b])
+    out = []
+    for a, b in runs:
+        if b - a >= run_words:
+            first, last = np.searchsorted(low, a), np.searchsorted(low, b, side="right") - 1
+            cut_a = int(at[first]) if low[first] == a else int(start[a])
+            cut_b = int(at[last]) if low[last] == b else int(end[b - 1])
+            keepers = np.unique(least[a:b]).tolist()
+            out.append((cut_a, cut_b, int(max(0, last - first)), {x for x in keepers if x < np.iinfo(np.int64).max}))
+    return len(count), out
+
+
 def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
     """(i, t, text) -> id, i, t, k (number in the text) and the band keys of every paragraph of least_words words."""
     fields = [(c, T.LongType()) for c in ("id", "i", "t")] + [("k", T.IntegerType())] + [(c, T.LongType()) for c in ("n_shingles", "s1", "s2")]
@@ -99,8 +187,9 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
 
     Paragraphs of least_words words or more are linked at a Jaccard similarity of `percent` or more of their
     word shingles; of each component the one in the least document (then the first in it) stays. The others
-    go where they make up runs of run_words words, shorter paragraphs between two of a run included; so
-    common short sentences stay. n_spans counts the runs, originals lists the documents that keep them. Null
+    go, with the words around them that also stand around the one that stays, where they make up runs of
+    run_words words, gaps of under least_words words between two of a run included; so common short sentences
+    stay. n_removed counts the paragraphs that go whole, n_spans counts the runs, originals lists the documents that keep them. Null
     texts are empty; texts without words have no paragraph to compare. Rows with one doc_id and one text
     share a result. A null doc_id is reported null. An empty table gives an empty result.
     """
@@ -117,9 +206,23 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
     placed = table(sk.select("s1", "s2", "i", "t", "k").join(linked, ["s1", "s2"]).select("i", "t", "k", "component_id"), "placed")
     drop_table(sk)
     release(spark)
-    first = placed.groupBy("component_id").agg(F.min(F.struct("i", "k")).alias("keep"))
+    first = placed.groupBy("component_id").agg(F.min(F.struct("i", "k", "t")).alias("keep"))
     repeated = placed.join(table(first, "first"), "component_id").filter("i != keep.i or k != keep.k")
-    marks = repeated.groupBy("i", "t").agg(F.collect_set(F.struct("k", F.col("keep.i").alias("by"))).alias("at"))
+    repeated = repeated.select("i", "t", "k", F.col("keep.i").alias("ki"), F.col("keep.t").alias("kt"), F.col("keep.k").alias("kk")).distinct()
+    # words around a paragraph matter where a neighbour is not repeated as well, next to the same kept one
+    beside = Window.partitionBy("i", "t").orderBy("k", "ki", "kk")
+    follows = lambda c, by: (c(F.col("k"), 1).over(beside) == F.col("k") + by) & (c(F.col("ki"), 1).over(beside) == F.col("ki")) & (c(F.col("kk"), 1).over(beside) == F.col("kk") + by)
+    inner = F.coalesce(follows(F.lag, -1) & follows(F.lead, 1), F.lit(False))
+    repeated = table(repeated.withColumn("inner", inner), "repeated")
+    kept = ["ki", "kt", "kk"]
+    asked = repeated.filter("not inner").select(*kept).distinct().groupBy(F.col("ki").alias("i"), F.col("kt").alias("t")).agg(F.collect_list("kk").alias("ks"))
+    around = _contexts(texts.join(table(asked, "asked").hint("merge"), ["i", "t"])).dropDuplicates(["i", "t", "k"])
+    around = table(around.select(F.col("i").alias("ki"), F.col("t").alias("kt"), F.col("k").alias("kk"), "before", "after"), "around")
+    release(spark)
+    none = F.lit(None).cast("binary")
+    edges = repeated.filter("not inner").join(around.hint("merge"), kept).select("i", "t", "k", "ki", "before", "after")
+    marks = edges.unionAll(repeated.filter("inner").select("i", "t", "k", "ki", none, none))
+    marks = marks.groupBy("i", "t").agg(F.collect_list(F.struct("k", F.col("ki").alias("by"), "before", "after")).alias("at"))
     joined = texts.join(table(marks, "marks").hint("merge"), ["i", "t"], "left")
     release(spark)
     fields = [("i", T.LongType()), *[(c, T.LongType()) for c in ("n_paragraphs", "n_removed", "n_spans")], ("originals", T.ArrayType(T.LongType())), ("kept_text", T.StringType())]
@@ -132,24 +235,10 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
                 rows: list[tuple] = []
                 for i, text, marks in zip(part.column("i").to_pylist(), part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
                     raw = text.encode()
-                    data = np.frombuffer(raw, dtype=np.uint8)
-                    at, _, count = paragraph_ends(data, np.array([0, len(data)]))
-                    by = {m["k"]: m["by"] for m in sorted(marks or [], key=lambda m: (m["k"], m["by"]), reverse=True)}
-                    gone, runs, k = np.zeros(len(count), dtype=bool), 0, 0
-                    while k < len(count):
-                        if k not in by:
-                            k += 1
-                            continue
-                        last, j = k, k + 1
-                        while j < len(count) and (j in by or count[j] < least_words):
-                            last = j if j in by else last
-                            j += 1
-                        if count[k : last + 1].sum() >= run_words:
-                            gone[k : last + 1] = True
-                            runs += 1
-                        k = last + 1
-                    kept = b"".join(raw[at[j] : at[j + 1]] for j in range(len(count)) if not gone[j]).decode() if runs else text
-                    rows.append((i, len(count), int(gone.sum()), runs, sorted({by[j] for j in by if gone[j]}), kept))
+                    n, runs = repeated_runs(np.frombuffer(raw, dtype=np.uint8), marks or [], least_words, run_words)
+                    edges = [0, *[x for a, b, _, _ in runs for x in (a, b)], len(raw)]
+                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode() if runs else text
+                    rows.append((i, n, sum(r[2] for r in runs), len(runs), sorted(set().union(*[r[3] for r in runs])), kept))
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
