@@ -22,8 +22,9 @@ _EXACT = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype
 _ODD = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 FEATURES = 5
-#: Share of a group's documents that the estimate rests on, concentration steps, smallest group of its own.
-SUPPORT, STEPS, LEAST_GROUP = 0.75, 4, 200
+#: Share of a group's documents that the estimate rests on, concentration steps, rows that the estimate one level
+#: up counts as: ten for each statistic.
+SUPPORT, STEPS, PRIOR = 0.75, 4, 50
 #: Least standard deviation of each transformed statistic: what differs by less is no outlier.
 FLOORS = (0.7, 0.08, 0.25, 0.15, 0.12)
 #: Squared distances beyond this are outliers: about the chi-squared quantile 1 - 1.5e-8 at 5 degrees of
@@ -126,7 +127,10 @@ def _distance() -> Column:
 
 
 def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean and precision of the nearest SUPPORT of a group, from the moments of its distance bins."""
+    """Mean, precision and covariance of the nearest SUPPORT of a group, from the moments of its distance bins.
+
+    With a mean and covariance from one level up (mu0, cov0), the result is that of the group's rows and PRIOR rows so distributed.
+    """
     pdf = pdf.sort_values("bin").reset_index(drop=True)
     up = np.cumsum(pdf["n"].to_numpy())
     until = int(np.searchsorted(up, SUPPORT * up[-1])) + 1
@@ -139,12 +143,34 @@ def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
             a, b = min(i, j), max(i, j)
             cov[i, j] = near[f"q{a}{b}"].sum() / n - mean[i] * mean[j]
     cov = (cov + cov.T) / 2 * CONSISTENCY
+    if pdf["mu0"].iloc[0] is not None:
+        mean0, cov0 = np.array(pdf["mu0"].iloc[0]), np.array(pdf["cov0"].iloc[0]).reshape(FEATURES, FEATURES)
+        w, apart = up[-1] / (up[-1] + PRIOR), mean - mean0
+        mean, cov = mean0 + w * apart, w * cov + (1 - w) * cov0 + w * (1 - w) * np.outer(apart, apart)
     floor = np.array(FLOORS) ** 2
     # raise the least variances, in units of the floors: the estimate stays invertible where a statistic hardly varies
     unit = 1 / np.sqrt(floor)
     value, vector = np.linalg.eigh(cov * np.outer(unit, unit))
     prec = (vector / np.maximum(value, 1.0)) @ vector.T * np.outer(unit, unit)
-    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mu": [np.round(mean, 9).tolist()], "prec": [np.round(prec.ravel(), 9).tolist()]})
+    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mu": [np.round(mean, 9).tolist()], "prec": [np.round(prec.ravel(), 9).tolist()], "cov": [np.round(cov.ravel(), 9).tolist()]})
+
+
+def _estimates(fit: DataFrame, prior: DataFrame) -> DataFrame:
+    """Of each group of fit(grp, x0..x4), with prior(grp, mu0, cov0): grp, mu, prec, cov."""
+    schema = "grp string, mu array<double>, prec array<double>, cov array<double>"
+    mid = fit.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i in range(FEATURES)])
+    spread = [F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(FEATURES)]
+    prec = [F.lit(0.0) if i != j else 1 / (spread[i] * spread[i]) for i in range(FEATURES) for j in range(FEATURES)]
+    est = table(mid.select("grp", F.array(*[F.col(f"m{i}")[1] for i in range(FEATURES)]).alias("mu"), F.array(*prec).alias("prec")), "estimate")
+    moments = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)]]
+    moments += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(FEATURES) for j in range(i, FEATURES)]
+    for _ in range(STEPS):
+        binned = fit.join(est, "grp").withColumn("bin", F.floor((F.log(F.greatest(_distance(), F.lit(1e-6))) - BIN_LOW) / BIN_STEP))
+        binned = binned.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.col("bin"))))
+        new = table(binned.groupBy("grp", "bin").agg(*moments).join(prior, "grp").groupBy("grp").applyInPandas(_estimate, schema), "estimate")
+        drop_table(est)
+        est = new
+    return est
 
 
 def judge(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF) -> DataFrame:
@@ -155,8 +181,8 @@ def judge(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF) ->
     one lang and source gets a minimum-covariance-determinant estimate: from the medians and spreads, every
     concentration step takes the `support` share of all its rows that lie nearest and re-estimates from
     them. Rows with a squared Mahalanobis distance above `cutoff` are rejected. Nulls in lang or source are
-    values of their own; groups of fewer than 200 rows share one estimate; rows without any estimate are
-    kept. Equal rows are judged alike. An empty table gives an empty result.
+    values of their own. Each group's estimate is drawn towards that of its language, and a language's towards
+    that of all rows, which count as 50 rows more: smoothly less the larger the group is, at any size. Equal rows are judged alike. An empty table gives an empty result.
 
     A step is one aggregation with map-side combine: moments per group and distance bin (at most 96 rows a
     group); the nearest share is a run of bins, so no group is ever sorted or collected.
@@ -166,24 +192,14 @@ def judge(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF) ->
     base = base.withColumn("base_failed", failed)
     base = base.withColumns({f"x{i}": x for i, x in enumerate(_features())})
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    base = table(base.withColumn("own", F.to_json(F.array(named("lang"), named("source")))), "counts")
-    fit = base.filter("not base_failed")
-    large = table(fit.groupBy("own").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP).select("own", F.col("own").alias("grp")), "groups")
-    base = base.join(large, "own", "left").withColumn("grp", F.coalesce("grp", F.lit("")))
-    fit = base.filter("not base_failed").select("grp", *[f"x{i}" for i in range(FEATURES)])
-    schema = "grp string, mu array<double>, prec array<double>"
-    mid = fit.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i in range(FEATURES)])
-    spread = [F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(FEATURES)]
-    prec = [F.lit(0.0) if i != j else 1 / (spread[i] * spread[i]) for i in range(FEATURES) for j in range(FEATURES)]
-    est = table(mid.select("grp", F.array(*[F.col(f"m{i}")[1] for i in range(FEATURES)]).alias("mu"), F.array(*prec).alias("prec")), "estimate")
-    moments = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)]]
-    moments += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(FEATURES) for j in range(i, FEATURES)]
-    for _ in range(STEPS):
-        binned = fit.join(est, "grp").withColumn("bin", F.floor((F.log(F.greatest(_distance(), F.lit(1e-6))) - BIN_LOW) / BIN_STEP))
-        binned = binned.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.col("bin"))))
-        new = table(binned.groupBy("grp", "bin").agg(*moments).groupBy("grp").applyInPandas(_estimate, schema), "estimate")
-        drop_table(est)
-        est = new
+    keys = {"all": F.lit(""), "tongue": named("lang"), "grp": F.to_json(F.array(named("lang"), named("source")))}
+    base = table(base.withColumns(keys), "counts")
+    fit, x = base.filter("not base_failed"), [f"x{i}" for i in range(FEATURES)]
+    est = _estimates(fit.select(F.col("all").alias("grp"), *x), fit.sparkSession.createDataFrame([("", None, None)], "grp string, mu0 array<double>, cov0 array<double>"))
+    for up, level in (("all", "tongue"), ("tongue", "grp")):
+        above = est.select(F.col("grp").alias(up), F.col("mu").alias("mu0"), F.col("cov").alias("cov0"))
+        prior = table(fit.groupBy(level).agg(F.min(up).alias(up)).join(above, up).select(F.col(level).alias("grp"), "mu0", "cov0"), "prior")
+        est = _estimates(fit.select(F.col(level).alias("grp"), *x), prior)
     out = base.join(est, "grp", "left").withColumn("distance", F.round(_distance(), 6))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
     return out.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"))

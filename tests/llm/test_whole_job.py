@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from terrane.llm import paragraphs
+from terrane.llm import paragraphs, quality
 
 
 def _prose(rng, n):
@@ -33,3 +33,15 @@ def test_passages_at_random_offsets(spark):
     assert all(got[a].kept_text == rows[a][1] for a, _, _, _ in planted)
     whole = sum(got[b].originals == [a] and got[b].kept_text.split() == host for a, b, _, host in planted)
     assert whole >= 0.9 * len(planted)
+
+
+def test_every_source_has_its_own_estimate(spark):
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    text = lambda long, marks: " ".join(word(long) + ("#" if rng.random() < marks else "") for _ in range(rng.randint(80, 120)))
+    # 150 rows of a profile of its own beside eight like sources of 150: all under 200
+    rows = [(1000 * s + i, text(5, 0.0), "de", f"s{s}") for s in range(8) for i in range(150)]
+    rows += [(9000 + i, text(11, 0.9), "de", "code") for i in range(150)] + [(9999, text(5, 0.0), "de", "code")]
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[r[0]].kept for r in rows if r[0] != 9999)
+    assert got[9999].distance > got[1].distance * 5
