@@ -46,9 +46,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; of repeated rows, one."""
+    """One document of each group of near duplicates (80 percent of shingles), that of the smallest id; of repeated rows, one."""
     named = _named(docs)
-    marked = mark_near_duplicates(named.select(F.col("_k").alias("doc_id"), "text"))
+    marked = mark_near_duplicates(named.select(F.col("_k").alias("doc_id"), "text"), percent=80)
     gone = marked.filter(~F.col("kept")).select(F.col("doc_id").alias("_k")).distinct()
     left = named.join(table(gone, "copies"), "_k", "left_anti").withColumn("_t", F.xxhash64("text"))
     return left.dropDuplicates(["_k", "_t"]).select(*COLUMNS)

@@ -45,3 +45,15 @@ def test_every_source_has_its_own_estimate(spark):
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[r[0]].kept for r in rows if r[0] != 9999)
     assert got[9999].distance > got[1].distance * 5
+
+
+def test_pipeline_drops_copies_at_82_percent(spark):
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    words = [f"w{rng.randrange(10**9)}" for _ in range(104)]
+    other = [*words]
+    other[30], other[70] = "changed", "too"  # 90 of 110 shingles in common
+    rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(other), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
