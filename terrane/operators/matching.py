@@ -110,11 +110,11 @@ def matches(faculty: DataFrame, groups: DataFrame, theme_scores: DataFrame, them
 def group_themes(members: DataFrame, vectors: DataFrame, themes: DataFrame) -> DataFrame:
     """group, theme, score: the theme of the greatest mean score of the members.
 
-    The mean of products is the product with the mean, so members are summed first; themes(theme, vec) is bounded.
+    The mean of products is the product with the mean, so members are summed first; themes(theme, vec) may have any number of rows.
     """
     parts = members.select("group", F.col("author").alias("id")).join(vectors, "id").select("group", F.posexplode("vec").alias("d", "x"))
     mean = parts.groupBy("group", "d").agg(F.avg("x").alias("x"))
-    t = F.broadcast(themes.select("theme", F.posexplode("vec").alias("d", "c")))
+    t = themes.select("theme", F.posexplode("vec").alias("d", "c"))
     s = mean.join(t, "d").groupBy("group", "theme").agg(F.sum(F.col("x") * F.col("c")).alias("score"))
     return best_first(s, ["group"], [F.desc(F.round("score", 12)), "theme"]).drop("rank")
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import text as X
+from terrane.llm._common import table as scratch
 from terrane.operators import corpus, encode, graph, ingest, lexical, matching, people, themes
 from terrane.sources import tables as S
 
@@ -174,8 +175,8 @@ def _units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _centers(spark: SparkSession, d: str) -> DataFrame:
-    """One row per label: a bounded table of themes."""
-    return themes.centroids(_units(spark, d), "label").limit(1000)
+    """One row per label, however many. Written, so that its size is known: Spark broadcasts it only where it is small."""
+    return scratch(themes.centroids(_units(spark, d), "label"), "centroids")
 
 
 def label_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -183,14 +184,14 @@ def label_centroids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nearest_theme(spark: SparkSession, d: str) -> DataFrame:
-    t = F.broadcast(_centers(spark, d).withColumnRenamed("label", "theme").withColumnRenamed("vec", "c"))
+    t = _centers(spark, d).withColumnRenamed("label", "theme").withColumnRenamed("vec", "c")
     s = _units(spark, d).crossJoin(t).select("id", "theme", F.round(X.dot("vec", "c"), 6).alias("score"))
     return lexical.best_first(s, ["id"], [F.desc("score"), "theme"]).select("id", "theme", "score")
 
 
 def theme_ranking_neural(spark: SparkSession, d: str) -> DataFrame:
     c = _centers(spark, d)
-    q, t = c.withColumnRenamed("label", "q").withColumnRenamed("vec", "qv"), F.broadcast(c.withColumnRenamed("label", "theme"))
+    q, t = c.withColumnRenamed("label", "q").withColumnRenamed("vec", "qv"), c.withColumnRenamed("label", "theme")
     return q.crossJoin(t).select("q", "theme", F.round(X.dot("qv", "vec"), 6).alias("score"))
 
 
@@ -198,7 +199,7 @@ def _fit(spark: SparkSession, d: str) -> DataFrame:
     """Query: the centroid of label 0. id, direct, fit of every person vector."""
     c = _centers(spark, d)
     q = F.broadcast(c.filter("label = 0").select(F.col("vec").alias("q")))
-    t = F.broadcast(c.select("label", F.col("vec").alias("t")).crossJoin(q).select("t", X.dot("q", "t").alias("qt")))
+    t = scratch(c.select("label", F.col("vec").alias("t")).crossJoin(q).select("t", X.dot("q", "t").alias("qt")), "themes")
     p = _units(spark, d).crossJoin(q).select("id", "vec", F.greatest(F.lit(0.0), X.dot("vec", "q")).alias("direct"))
     return p.crossJoin(t).groupBy("id", "direct").agg(F.greatest(F.lit(0.0), F.max(F.col("qt") * X.dot("vec", "t"))).alias("fit"))
 

@@ -57,3 +57,14 @@ def test_pipeline_drops_copies_at_82_percent(spark):
     rows = [(1, " ".join(words), "en", "a", 0), (2, " ".join(other), "en", "a", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [1]
+
+
+def test_more_than_a_thousand_labels(spark, tmp_path):
+    from terrane.plans import queries
+
+    rng, n = random.Random(24), 1005
+    rows = [(i, [rng.gauss(0, 1) for _ in range(64)], i) for i in range(n)]
+    rows = [(i, [x / sum(y * y for y in v) ** 0.5 for x in v], k) for i, v, k in rows]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert queries.label_centroids(spark, str(tmp_path)).select("label").distinct().count() == n
+    assert all(r.theme == r.id for r in queries.nearest_theme(spark, str(tmp_path)).collect())
