@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 from terrane.llm._common import load, table
 
 SEQUENCE, WINDOW = 1024, 1 << 16
-#: Sources beyond this number share queues by a hash of their name, so the table of queues stays small.
-QUEUES = 256
+#: Numbers that a task keeps of windows' counts.
+HELD = 1 << 20
 TOKENIZER = "byte_bpe_50k"
 
 
@@ -60,9 +60,6 @@ def tokenize(docs: DataFrame, name: str = TOKENIZER, end_id: int = 0) -> DataFra
     these places hold for every later reading.
     """
     queue = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
-    names = docs.select(queue.alias("q")).distinct().limit(QUEUES + 1).count()
-    if names > QUEUES:
-        queue = F.pmod(F.xxhash64(queue), F.lit(QUEUES)).cast("string")
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, t) for c, t in (("queue", T.StringType()), ("ids", T.BinaryType()), ("n", T.LongType()), ("part", T.IntegerType()), ("at", T.LongType()))]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,14 +90,14 @@ def tokenize(docs: DataFrame, name: str = TOKENIZER, end_id: int = 0) -> DataFra
     return docs.select("doc_id", queue.alias("queue"), "text").mapInArrow(run, schema)
 
 
-def sent(window: int, total: int, tokens: int, per_window: int) -> int:
-    """Tokens that a queue of `tokens` has sent after `window` windows of per_window, out of `total`.
+def sent(window: int, total: int, tokens: np.ndarray | int, per_window: int) -> np.ndarray | int:
+    """Tokens that queues of `tokens` have sent after `window` windows of per_window, out of `total`.
 
-    Every window adds per_window * tokens / total to the queue's deficit counter and sends its whole part;
+    Every window adds per_window * tokens / total to a queue's deficit counter and sends its whole part;
     the fraction carries over to the next window, wherever that is made. Cut freely, a queue always has a
     token to send, so the running sum has this closed form.
     """
-    return min(tokens, window * per_window * tokens // total) if window * per_window < total else tokens
+    return window * per_window * tokens // total if window * per_window < total else tokens
 
 
 def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name: str = TOKENIZER) -> DataFrame:
@@ -113,54 +110,61 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name:
     an empty table gives an empty result.
 
     Where a token goes follows from its place in its queue alone, so pieces are found row by row, without a
-    shuffle of ids; places come from a small table of token counts per written part and queue.
+    shuffle of ids; places come from a small table of token counts per written part and queue. Every source is
+    a queue at any number of them: a queue's number is joined, and tasks get eight bytes for each.
     """
     out = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
     coded = table(tokenize(docs, name), "ids")
     counts = table(coded.groupBy("part", "queue").agg(F.sum("n").alias("tokens")), "parts")
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select("part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
-    # at most QUEUES rows
     queues = sorted((r["queue"], r["tokens"]) for r in counts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())
-    total, order = sum(t for _, t in queues), {q: i for i, (q, _) in enumerate(queues)}
-    sizes = [t for _, t in queues]
+    total, most = sum(t for _, t in queues), max((t for _, t in queues), default=0)
+    # products beyond 64 bits are Python's integers
+    sizes = np.array([t for _, t in queues], dtype=np.int64 if total * most < 1 << 62 else object)
+    numbers = docs.sparkSession.createDataFrame([(q, i) for i, (q, _) in enumerate(queues)], "queue string, number int")
+    places = places.join(table(numbers, "queues"), "queue")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, list[int]] = {}
+        seen: dict[int, np.ndarray] = {}
 
-        def upto(w: int) -> list[int]:
+        def before(w: int) -> np.ndarray:
+            """Entry q: tokens that the queues before q have sent after w windows."""
             if w not in seen:
-                if len(seen) > 4096:
+                if len(seen) * len(sizes) > HELD:
                     seen.clear()
-                seen[w] = [sent(w, total, t, window) for t in sizes]
+                seen[w] = np.concatenate([[0], np.cumsum(sent(w, total, sizes, window))])
             return seen[w]
 
+        def upto(w: int, q: int) -> int:
+            return int(sent(w, total, int(sizes[q]), window))
+
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
-            cols = {c: batch.column(c).to_pylist() for c in ("queue", "n", "at", "base")}
+            cols = {c: batch.column(c).to_pylist() for c in ("number", "n", "at", "base")}
             ids_of, names = batch.column("ids"), batch.column("doc_id").to_pylist()
             for i in range(batch.num_rows):
-                q, n = order[cols["queue"][i]], cols["n"][i]
+                q, n = cols["number"][i], cols["n"][i]
                 first = cols["base"][i] + cols["at"][i]
                 raw = ids_of[i].as_buffer()
                 ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
-                done, w = 0, first * total // (sizes[q] * window)
-                while upto(w)[q] > first:
+                done, w = 0, first * total // (int(sizes[q]) * window)
+                while upto(w, q) > first:
                     w -= 1
                 while done < n:
-                    while upto(w + 1)[q] <= first + done:
+                    while upto(w + 1, q) <= first + done:
                         w += 1
-                    low, high = upto(w), upto(w + 1)
+                    low, high = before(w), before(w + 1)
                     # place in the stream: earlier windows, then this window's share of earlier queues, then the queue's own
-                    place = sum(low) + sum(high[:q]) - sum(low[:q]) + first + done - low[q]
-                    take = min(n - done, high[q] - first - done, sequence - place % sequence)
+                    place = int(low[-1] + high[q] - low[q + 1]) + first + done
+                    take = min(n - done, upto(w + 1, q) - first - done, sequence - place % sequence)
                     for col, value in zip(rows, (names[i], done, take, zlib.crc32(ids[done : done + take].tobytes()), n, place // sequence, place % sequence), strict=True):
                         col.append(value)
                     done += take
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], batch.schema.field("doc_id").type), *[pa.array(c, pa.int64()) for c in rows[1:]]], names=out.names)
 
     placed = coded.join(table(places, "places"), ["part", "queue"])
-    return placed.select("doc_id", "queue", "ids", "n", "at", "base").mapInArrow(run, out)
+    return placed.select("doc_id", "number", "ids", "n", "at", "base").mapInArrow(run, out)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

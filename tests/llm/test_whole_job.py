@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from terrane.llm import paragraphs, quality
+from terrane.llm import packing, paragraphs, quality
 
 
 def _prose(rng, n):
@@ -68,3 +68,19 @@ def test_more_than_a_thousand_labels(spark, tmp_path):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert queries.label_centroids(spark, str(tmp_path)).select("label").distinct().count() == n
     assert all(r.theme == r.id for r in queries.nearest_theme(spark, str(tmp_path)).collect())
+
+
+def test_windows_hold_every_source_in_proportion(spark):
+    # 300 sources of 40 equal documents, source by source
+    n, window = 300, 4096
+    docs = spark.createDataFrame([(40 * s + i, "one two three four five six seven", f"s{s:03}") for s in range(n) for i in range(40)], "doc_id long, text string, source string")
+    rows = packing.pack(docs.coalesce(1), window=window).collect()
+    total = sum(r.length for r in rows)
+    half = [0] * n
+    for r in rows:
+        half[r.doc_id // 40] += max(0, min(r.length, total // 2 - (1024 * r.sequence_id + r.offset)))
+    # in half of the stream every source has half of its tokens, up to a window's share
+    share = total / n
+    assert all(abs(h - share / 2) <= window / n + 1 for h in half)
+    at = sorted((1024 * r.sequence_id + r.offset, r.length) for r in rows)
+    assert all(a + k == b for (a, k), (b, _) in zip(at, at[1:], strict=False))
