@@ -5,26 +5,24 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
-def _shared(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the cluster's shared folder where one is configured, by persisting elsewhere."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.persist()
+from terrane.sources.scratch import drop_table, table
 
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(a, b) -> node, component (least node reachable): least labels with pointer jumping."""
-    both = _shared(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    labels = _shared(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")))
+    """(a, b) -> node, component (least node reachable): least labels with pointer jumping, each round a written table."""
+    both = table(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(edges.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct(), "edges")
+    labels = table(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("l")), "labels")
     for _ in range(rounds):
         seen = both.join(labels.select(F.col("x").alias("y"), "l"), "y").groupBy("x").agg(F.min("l").alias("m"))
         new = labels.join(seen, "x").select("x", F.least("l", "m").alias("l"))
-        jump = new.join(new.select(F.col("x").alias("l"), F.col("l").alias("ll")), "l").select("x", F.col("ll").alias("l"))
-        jump = _shared(jump)
+        jump = table(new.join(new.select(F.col("x").alias("l"), F.col("l").alias("ll")), "l").select("x", F.col("ll").alias("l")), "labels")
         moved = jump.join(labels.withColumnRenamed("l", "old"), "x").filter("l != old").limit(1).count()
+        drop_table(labels)
         labels = jump
         if not moved:
+            drop_table(both)
             return labels.select(F.col("x").alias("node"), F.col("l").alias("component"))
     raise RuntimeError("components did not settle")
 
@@ -58,7 +56,7 @@ def communities(edges: DataFrame, batch: int = 1 << 16) -> DataFrame:
 
     A task's call gets a batch of whole components of about `batch` edges; only a larger component makes a larger one.
     """
-    edges = _shared(edges.select("a", "b", "n"))
+    edges = table(edges.select("a", "b", "n"), "edges")
     comp = connected(edges).select(F.col("node").alias("a"), "component")
     batches = max(1, edges.count() // batch)
     placed = edges.join(comp, "a").withColumn("batch", F.pmod(F.xxhash64("component"), F.lit(batches)))
@@ -84,3 +82,13 @@ def group_metrics(members: DataFrame, edges: DataFrame, authorship: DataFrame, w
     out = size.join(shared, "community").join(inner, "community", "left").join(lead, "community")
     pairs = F.col("n_members") * (F.col("n_members") - 1) / 2
     return out.select("community", "n_members", "n_works", (F.coalesce("links", F.lit(0)) / pairs).alias("cohesion"), "recency", "lead")
+
+
+def in_corpus_order(members: DataFrame, order: DataFrame) -> DataFrame:
+    """(node, community) and order(node, seq) -> community, number (from 1), members: both in corpus order.
+
+    A community stands where its first member does. Numbers come from a window over one row per community.
+    """
+    placed = members.join(order.select("node", "seq"), "node")
+    lists = placed.groupBy("community").agg(F.min("seq").alias("first"), F.transform(F.array_sort(F.collect_list(F.struct("seq", "node"))), lambda m: m["node"]).alias("members"))
+    return lists.select("community", F.row_number().over(Window.orderBy("first")).alias("number"), "members")

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrane.functions import text as X
-from terrane.llm._common import table as scratch
 from terrane.operators import corpus, encode, graph, ingest, lexical, matching, people, themes
 from terrane.sources import tables as S
+from terrane.sources.scratch import shared_dir
+from terrane.sources.scratch import table as scratch
 
 
 def r6(c: str, name: str | None = None):
@@ -73,18 +74,22 @@ def author_composite(spark: SparkSession, d: str) -> DataFrame:
     return lexical.composite(rows, _space(spark, d)[1], S.CUTOFF).select("person", "term", r6("w"))
 
 
+def _passages(spark: SparkSession, d: str) -> DataFrame:
+    return S.table(spark, d, "benchmark").select(F.col("item_id").alias("q"))
+
+
 def theme_ranking_lexical(spark: SparkSession, d: str) -> DataFrame:
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    reps = lexical.best_first(docs, ["source"], ["id"], 5).select("id", "source")
-    n = reps.groupBy("source").agg(F.count("*").alias("n"))
-    s = _scores(spark, d).join(reps, "id").groupBy("q", "source").agg(F.sum("score").alias("s")).join(n, "source")
-    return s.select("q", "source", F.round(F.col("s") / F.greatest(F.lit(1), "n"), 6).alias("score"))
+    """Sources as themes, their first five documents as representatives, for every passage."""
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("theme"))
+    reps = lexical.best_first(docs, ["theme"], ["id"], 5).select("id", "theme")
+    return matching.rank_themes(_scores(spark, d), reps, _passages(spark, d)).select("q", F.col("theme").alias("source"), r6("score"))
 
 
 def closest_paper_per_person(spark: SparkSession, d: str) -> DataFrame:
-    s = _scores(spark, d).withColumn("score", F.round("score", 6)).join(S.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source"), "id")
-    best = lexical.best_first(s, ["q", "source"], [F.desc("score"), "id"])
-    return best.select("q", "source", "id", "score")
+    """Sources as people and their documents as works, for every passage."""
+    works = S.table(spark, d, "documents").select(F.col("source").alias("author"), F.col("doc_id").alias("work"))
+    best = matching.closest_papers(works, _scores(spark, d).withColumn("score", F.round("score", 6)), _passages(spark, d))
+    return best.select("q", F.col("author").alias("source"), F.col("work").alias("id"), "score")
 
 
 def explanation_text(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +112,7 @@ def author_stats(spark: SparkSession, d: str) -> DataFrame:
 
 def plausible_name(spark: SparkSession, d: str) -> DataFrame:
     named = S.people(spark, d).unionAll(S.table(spark, d, "customer").select(F.col("c_custkey").alias("author"), F.col("c_name").alias("name")))
-    return named.select("author", "name", X.plausible_name("name").alias("plausible"))
+    return people.with_plausible(named).select("author", "name", "plausible")
 
 
 def _retained(spark: SparkSession, d: str) -> DataFrame:
@@ -122,8 +127,13 @@ def retained_publications(spark: SparkSession, d: str) -> DataFrame:
     return people.retained_works(S.authorship(spark, d), _retained(spark, d))
 
 
+def _authorship(spark: SparkSession, d: str) -> DataFrame:
+    """Without oversized works: a work of n authors makes n * n pairs, of 50 at most."""
+    return people.drop_oversized(S.authorship(spark, d).drop("n_authors"))
+
+
 def coauthor_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return people.coauthors(S.authorship(spark, d), S.works(spark, d))
+    return people.coauthors(_authorship(spark, d), S.works(spark, d))
 
 
 def activity_signals(spark: SparkSession, d: str) -> DataFrame:
@@ -132,10 +142,21 @@ def activity_signals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as projects whose author is a word; a passage's author is its first word of three letters."""
-    docs = S.texts(spark, d).select(F.col("id").alias("project"), "text", F.explode(F.array_distinct(X.tokens("text"))).alias("author"))
-    titles = S.texts(spark, d, "benchmark", "item_id").select(F.get(X.tokens("text"), F.lit(0)).alias("author"), F.lower("text").alias("title"))
-    return people.evidence(docs, titles.filter("author is not null")).select("project").distinct()
+    """Documents that hold a passage of over eight characters.
+
+    A document that holds a passage has the passage's second word as a word, so documents and passages meet on
+    words, by ids; texts are fetched for those that meet. Passages of fewer than three words have no inner word
+    that is surely whole: they meet every document.
+    """
+    titles = S.texts(spark, d, "benchmark", "item_id").select(F.lower("text").alias("title")).filter(F.length("title") > 8).distinct()
+    words = titles.withColumn("words", X.tokens("title"))
+    docs = S.texts(spark, d).withColumnRenamed("id", "project")
+    at = docs.select("project", F.explode(F.array_distinct(X.tokens("text"))).alias("word"))
+    met = at.join(words.filter(F.size("words") >= 3).select(F.get("words", F.lit(1)).alias("word"), "title"), "word").select("project", "title")
+    holds = F.contains(F.lower("text"), F.col("title"))
+    long = docs.join(met, "project").filter(holds).select("project")
+    short = docs.join(words.filter(F.size("words") < 3).select("title"), holds).select("project")
+    return long.unionAll(short).distinct()
 
 
 def upsert_last_wins(spark: SparkSession, d: str) -> DataFrame:
@@ -166,8 +187,18 @@ def date_validation(spark: SparkSession, d: str) -> DataFrame:
     return o.select("o_orderkey", X.valid_date(text).alias("day"))
 
 
-def synthetic_corpus(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.synthetic_works(spark)
+def synthetic_people(spark: SparkSession, d: str) -> DataFrame:
+    p = ingest.synthetic_corpus(spark)["people"]
+    joined = [F.array_join(c, ",").alias(c) for c in ("departments", "publications", "projects")]
+    return p.select("id", "name", "title", *joined, F.col("coauthors")[0]["id"].alias("coauthor"))
+
+
+def synthetic_works(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.synthetic_corpus(spark)["publications"].select("id", "title", "abstract", "year", "venue", F.array_join("author_ids", ",").alias("authors"))
+
+
+def synthetic_projects(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.synthetic_corpus(spark)["projects"].select("id", "title", "description", "end_date", "funder", F.array_join("person_ids", ",").alias("people"))
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -229,13 +260,17 @@ def optin_boost(spark: SparkSession, d: str) -> DataFrame:
 
 
 def group_ranking(spark: SparkSession, d: str) -> DataFrame:
-    f = _fit(spark, d).join(_units(spark, d).select("id", "label"), "id").groupBy("label").agg(F.avg("direct").alias("s"))
-    return f.select("label", F.round("s", 6).alias("score")).orderBy(F.desc("score"), "label").limit(3)
+    """Brands by the mean score of their parts for label 0; theme 3 has no name."""
+    best = matching.group_themes(_groups(spark, d), _units(spark, d), _centers(spark, d).withColumnRenamed("label", "theme"))
+    names = _centers(spark, d).filter("label != 3").select(F.col("label").alias("theme"), F.format_string("theme %d", "label").alias("name"))
+    out = matching.group_matches(_groups(spark, d), _fit(spark, d).select("id", F.col("direct").alias("score")), best.select("group", "theme"), names)
+    return out.select("group", r6("score"), "theme", "theme_name", "rank")
 
 
 def student_ranking(spark: SparkSession, d: str) -> DataFrame:
-    s = _scores(spark, d).select("q", "id", F.round(F.greatest(F.lit(0.0), "score"), 6).alias("score"))
-    return lexical.best_first(s, ["q"], [F.desc("score"), "id"], 3).select("q", "id", "score", "rank")
+    """Documents as students, for every passage."""
+    students = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    return matching.student_matches_each(_scores(spark, d).withColumn("score", F.round("score", 6)), students, _passages(spark, d))
 
 
 def theme_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -249,7 +284,7 @@ def label_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coauthor_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = people.coauthors(S.authorship(spark, d), S.works(spark, d))
+    e = people.coauthors(_authorship(spark, d), S.works(spark, d))
     return e.select(F.col("a").alias("src"), F.col("b").alias("dst"), "n").unionAll(e.select("b", "a", "n"))
 
 
@@ -281,7 +316,7 @@ def spherical_kmeans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return people.coauthors(S.authorship(spark, d), S.works(spark, d)).filter("n >= 2").select("a", "b", "n")
+    return people.coauthors(_authorship(spark, d), S.works(spark, d)).filter("n >= 2").select("a", "b", "n")
 
 
 def connected_components(spark: SparkSession, d: str) -> DataFrame:
@@ -327,8 +362,9 @@ def group_works(spark: SparkSession, d: str) -> DataFrame:
 
 def student_ranking_ui(spark: SparkSession, d: str) -> DataFrame:
     """The six best texts for passage 0, not clamped."""
-    s = _scores(spark, d).filter("q = 0").select("id", r6("score"))
-    return matching.student_matches(s, 6, clamp=False)
+    students = S.table(spark, d, "documents").select(F.col("doc_id").alias("id"))
+    s = students.join(_scores(spark, d).filter("q = 0").select("id", r6("score")), "id", "left")
+    return matching.student_matches(s.withColumn("score", F.coalesce("score", F.lit(0.0))), 6, clamp=False)
 
 
 def nearest_theme_of_text(spark: SparkSession, d: str) -> DataFrame:
@@ -367,3 +403,75 @@ def encoded_texts(spark: SparkSession, d: str) -> DataFrame:
     coder = encode.LexicalEncoder(tuple(r["term"] for r in vocab), tuple(r["idf"] for r in vocab))
     rows = encode.encode(docs, lambda: coder).select("id", F.posexplode("vec").alias("dim", "x"))
     return rows.filter("x != 0").select("id", "dim", r6("x"))
+
+
+def publication_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as publications: source, text and lang as title, abstract and venue."""
+    rows = S.table(spark, d, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("abstract"), F.col("lang").alias("venue"))
+    return rows.select("doc_id", F.md5(X.publication_text()).alias("digest"))
+
+
+def person_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as people: brand as department, type and name as works."""
+    rows = S.table(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.array("p_brand").alias("departments"), F.array("p_type", "p_name").alias("texts"))
+    return rows.select("p_partkey", X.person_text().alias("text"))
+
+
+def replaced_names(spark: SparkSession, d: str) -> DataFrame:
+    """Replacements one after another: the second meets what the first has made."""
+    return S.table(spark, d, "part").select("p_partkey", X.replace_all("p_type", [("ECONOMY", "PROMO"), ("PROMO", "offer"), ("LARGE", "big")]).alias("type"))
+
+
+def theme_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of a wanted number of themes, here the number of parts of each size."""
+    clamped = {n: themes.theme_count(n) for n in range(0, 121)}
+    wanted = S.table(spark, d, "part").groupBy("p_size").agg(F.least(F.count("*"), F.lit(120)).alias("wanted"))
+    return wanted.select("p_size", "wanted", F.get(F.array(*[F.lit(clamped[n]) for n in range(121)]), F.col("wanted").cast("int")).alias("themes"))
+
+
+def lead_titles(spark: SparkSession, d: str) -> DataFrame:
+    """Orders titled by their priority and number."""
+    titles = S.table(spark, d, "orders").select(F.col("o_orderkey").alias("work"), F.concat_ws(" ", "o_orderpriority", "o_orderkey").alias("title"))
+    return people.lead_titles(_authorship(spark, d), titles)
+
+
+def retained_works_by_author(spark: SparkSession, d: str) -> DataFrame:
+    return people.retained_by_author(_authorship(spark, d), _retained(spark, d))
+
+
+def person_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Retained people's works in the order of their keys, and their orders that still are projects: the urgent ones, by line."""
+    kept = people.retained_by_author(_authorship(spark, d), _retained(spark, d))
+    listed = S.table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("author"), F.col("l_orderkey").alias("project")).agg(F.min("l_linenumber").alias("pos"))
+    urgent = S.table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("project"))
+    order = S.works(spark, d).select("work", F.col("work").alias("seq"))
+    lists = people.person_lists(_retained(spark, d), kept, order, listed, urgent)
+    return lists.select("author", F.array_join("publications", ",").alias("publications"), F.array_join("projects", ",").alias("projects"))
+
+
+def stored_explanations(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as people, with the theme of the vector of their number and their newest order."""
+    best = nearest_theme(spark, d).select(F.col("id").alias("author"), F.concat(F.lit("theme "), F.col("theme").cast("string")).alias("theme_name"))
+    works = S.works(spark, d).select("work", F.concat(F.lit("order "), F.col("work").cast("string")).alias("title"), "year", F.col("work").alias("seq"))
+    return people.stored_explanations(S.people(spark, d), best, _authorship(spark, d), works)
+
+
+def groups_of_theme(spark: SparkSession, d: str) -> DataFrame:
+    best = matching.group_themes(_groups(spark, d), _units(spark, d), _centers(spark, d).withColumnRenamed("label", "theme"))
+    return matching.groups_of_theme(best.select("group", "theme"), 3)
+
+
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Prices written as JSON, at eight places, and read again."""
+    rows = S.table(spark, d, "part").select("p_partkey", (F.col("p_retailprice") / 7).alias("price"))
+    path = f"{shared_dir(spark)}/terrane/{spark.sparkContext.applicationId}/prices"
+    S.write_json(rows, path)
+    return S.read_json(spark, path, rows.schema, lines=True)
+
+
+def robots_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The pages' paths under a robots file of their host."""
+    at = S.table(spark, d, "pages").select("page_id", F.parse_url("url", F.lit("HOST")).alias("host"), F.parse_url("url", F.lit("PATH")).alias("path"))
+    text = "User-agent: other\nAllow: /\n\nuser-agent: * # all\nDisallow: /\nAllow: /e\nDisallow: /en*x\n"
+    rules = ingest.robots_rules(at.select("host").distinct().withColumn("text", F.lit(text)), "terrane")
+    return at.join(ingest.robots_allowed(at.select("host", "path").distinct(), rules), ["host", "path"]).select("page_id", "allowed")

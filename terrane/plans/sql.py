@@ -31,7 +31,7 @@ sig AS (SELECT author, count(*) FILTER (WHERE year >= 1998) AS recent_output, ma
 """
 _PAIRS = """
 pairs AS (SELECT x.author AS a, y.author AS b, count(*) AS n, max(year) AS latest
-          FROM auth x JOIN auth y ON x.work = y.work AND x.author < y.author JOIN works w ON w.work = x.work GROUP BY ALL)
+          FROM auth x JOIN auth y ON x.work = y.work AND x.author < y.author JOIN works w ON w.work = x.work WHERE x.n_authors <= 50 GROUP BY ALL)
 """
 _NAME = r"len(list_filter(regexp_extract_all(name, '\p{L}[\p{L}\p{M}''’-]*'), lambda t: len(regexp_replace(t, '[^\p{L}]', '', 'g')) >= 2)) >= 2"
 _STATS = """
@@ -62,10 +62,11 @@ def _faculty(fit: str) -> str:
 
 _THEMES = """
 reps AS (SELECT doc_id AS id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5),
-tl AS (SELECT q, r.source, round(sum(score) / greatest(1, any_value(n)), 6) AS score FROM scores s JOIN reps r ON r.id = s.id
-       JOIN (SELECT source, count(*) AS n FROM reps GROUP BY source) k ON k.source = r.source GROUP BY q, r.source),
-cp AS (SELECT q, source, id, round(score, 6) AS score FROM scores JOIN documents ON doc_id = id
-       QUALIFY row_number() OVER (PARTITION BY q, source ORDER BY round(score, 6) DESC, id) = 1)
+tl AS (SELECT b.item_id AS q, r.source, round(sum(coalesce(s.score, 0)) / count(*), 6) AS score
+       FROM reps r CROSS JOIN benchmark b LEFT JOIN scores s ON s.id = r.id AND s.q = b.item_id GROUP BY b.item_id, r.source),
+every AS (SELECT b.item_id AS q, d.source, d.doc_id AS id, round(coalesce(s.score, 0), 6) AS score
+          FROM documents d CROSS JOIN benchmark b LEFT JOIN scores s ON s.id = d.doc_id AND s.q = b.item_id),
+cp AS (SELECT q, source, id, score FROM every QUALIFY row_number() OVER (PARTITION BY q, source ORDER BY score DESC, id) = 1)
 """
 _ROLL = """
 roll AS (SELECT theme, count(*) AS publication_count, count(*) FILTER (WHERE year >= 1998) AS recent_publications
@@ -82,6 +83,18 @@ gs AS (SELECT "group", label AS theme, sum(x * vec[d + 1]) AS score FROM mean, c
 gt AS (SELECT "group", theme, score FROM gs QUALIFY row_number() OVER (PARTITION BY "group" ORDER BY round(score, 12) DESC, theme) = 1)
 """
 
+_LISTS = {
+    "dept": "Biology|Chemistry|Physics|Psychology|Computer Science|Biomedical Engineering|Earth and Environmental Sciences|Public Health|Political Science|Sociology|History|English|Mathematics|Information Studies|Architecture",
+    "topic": "Climate resilience|Machine learning|Public health equity|Quantum materials|Civic media|Neural development|Water systems|Digital humanities|Autonomous systems|Inclusive education|Urban policy|Cellular metabolism|Cybersecurity|Migration studies|Renewable energy",
+    "one": "Avery|Jordan|Taylor|Morgan|Riley|Casey|Cameron|Quinn|Parker|Reese|Skyler|Drew|Alex|Jamie|Rowan|Emerson|Harper|Dakota|Hayden|Finley",
+    "two": "Adams|Bennett|Chen|Diaz|Evans|Foster|Gupta|Hassan|Ito|Johnson|Kim|Lopez|Martin|Nguyen|Owens|Patel|Rivera|Singh|Turner|Williams",
+}
+_pick = lambda name, i: f"(string_split('{_LISTS[name]}', '|'))[({i}) % {len(_LISTS[name].split('|'))} + 1]"
+_SYNTHETIC = f"""
+syn AS (SELECT i, {_pick("dept", "i")} AS dept, {_pick("topic", "i * 7")} AS topic, 'fallback-person-' || (i + 1) AS me,
+        'fallback-person-' || ((i + 1) % 300 + 1) AS next FROM (SELECT unnest(range(300)) AS i))
+"""
+
 ORACLE_SQL = {
     "token_counts": f"WITH {_SPACE} SELECT id, term, n, round(1 + ln(n), 6) AS tf FROM cnt",
     "document_frequency": f"WITH {_SPACE} SELECT term, df FROM dfs",
@@ -117,7 +130,6 @@ ORACLE_SQL = {
       SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY m) - 1)::INTEGER AS pos, l_partkey FROM a""",
     "inverted_index_rebuild": "SELECT doc_id AS id, md5(text) AS digest FROM documents",
     "date_validation": "SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day FROM orders",
-    "synthetic_corpus": "SELECT p AS person, p * 4 + j AS work, (2023 + j)::INTEGER AS year FROM (SELECT unnest(range(300)) AS p), (SELECT unnest(range(4)) AS j)",
     "label_centroids": f"WITH {_VEC} SELECT label, unnest(range(64))::INTEGER AS d, round(unnest(vec), 6) AS x FROM cents",
     "nearest_theme": f"WITH {_VEC} SELECT id, theme, score FROM near",
     "theme_ranking_neural": f"WITH {_VEC} SELECT a.label AS q, b.label AS theme, round(list_dot_product(a.vec, b.vec), 6) AS score FROM cents a, cents b",
@@ -127,9 +139,10 @@ ORACLE_SQL = {
     "optin_boost": f"""WITH {_VEC}, {_FIT}, {_AUTH}, {_SIG}, {_faculty('fit')},
       b AS (SELECT id, round(CASE WHEN row_number() OVER (ORDER BY score DESC, id) = 1 THEN least(0.99::DOUBLE, score + 0.1::DOUBLE) ELSE score END, 6) AS score FROM ranked)
       SELECT id, score, floor(score * 100 + 0.5::DOUBLE)::BIGINT AS percent FROM b ORDER BY score DESC, id LIMIT 6""",
-    "group_ranking": f"WITH {_VEC}, {_FIT} SELECT label, round(avg(direct), 6) AS score FROM fits JOIN units USING (id) GROUP BY label ORDER BY score DESC, label LIMIT 3",
-    "student_ranking": f"""WITH {_SPACE} SELECT q, id, round(greatest(0.0::DOUBLE, score), 6) AS score,
-      row_number() OVER (PARTITION BY q ORDER BY round(greatest(0.0::DOUBLE, score), 6) DESC, id)::INTEGER AS rank FROM scores QUALIFY rank <= 3""",
+    "group_ranking": f"""WITH {_VEC}, {_FIT}, {_GROUPS}, g AS (SELECT p_brand AS "group", avg(direct) AS score FROM part JOIN fits ON id = p_partkey GROUP BY ALL)
+      SELECT "group", round(g.score, 6) AS score, theme, CASE WHEN theme <> 3 THEN 'theme ' || theme END AS theme_name,
+        row_number() OVER (ORDER BY g.score DESC, "group")::INTEGER AS rank FROM g JOIN gt USING ("group") ORDER BY g.score DESC, "group" LIMIT 3""",
+    "student_ranking": f"""WITH {_SPACE}, {_THEMES} SELECT q, id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, id)::INTEGER AS rank FROM every QUALIFY rank <= 3""",
     "theme_rollup": f"WITH {_VEC}, {_AUTH}, {_ROLL} SELECT * FROM rolled",
     "theme_lookup": f"WITH {_VEC}, {_AUTH}, {_ROLL} SELECT theme, publication_count, representative_publications FROM rolled WHERE theme = 3",
     "themes_of_person": f"WITH {_VEC}, {_AUTH}, {_ROLL} SELECT author, theme FROM toa",
@@ -148,8 +161,7 @@ ORACLE_SQL = {
     "group_works": f"""WITH {_AUTH}, s AS (SELECT p_brand AS "group", work, any_value(year) AS year FROM auth JOIN part ON p_partkey = author JOIN works USING (work)
       GROUP BY ALL HAVING count(*) >= 2)
       SELECT "group", work, year, row_number() OVER (PARTITION BY "group" ORDER BY year DESC, work)::INTEGER AS rank FROM s""",
-    "student_ranking_ui": f"""WITH {_SPACE}, s AS (SELECT id, round(score, 6) AS score FROM scores WHERE q = 0)
-      SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s ORDER BY score DESC, id LIMIT 6""",
+    "student_ranking_ui": f"""WITH {_SPACE}, {_THEMES} SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM every WHERE q = 0 ORDER BY score DESC, id LIMIT 6""",
     "nearest_theme_of_text": f"""WITH {_SPACE}, {_THEMES} SELECT q, source, score FROM tl WHERE q IN (SELECT q FROM qvec GROUP BY q HAVING count(*) >= 3)
       QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, source) = 1""",
     "theme_keys": f"WITH {_VEC}, {_AUTH}, {_ROLL} SELECT theme, 'hashed-64:' || representative_publications AS key FROM rolled",
@@ -159,4 +171,36 @@ ORACLE_SQL = {
     "evidence_projects": f"""WITH {_AUTH}, t AS (SELECT work, p_name AS text FROM auth JOIN part ON p_partkey = author WHERE pos = 1),
       e AS (SELECT work, author, pos, length(p_name) AS len FROM auth JOIN t USING (work) JOIN part ON p_partkey = author WHERE contains(lower(text), lower(p_name)))
       SELECT work AS project, (row_number() OVER (PARTITION BY work ORDER BY pos) - 1)::INTEGER AS pos, author FROM e WHERE work IN (SELECT work FROM e WHERE len > 8)""",
+    "synthetic_people": f"""WITH {_SYNTHETIC} SELECT me AS id, {_pick("one", "i")} || ' ' || {_pick("two", "i * 3")} AS name,
+      CASE i % 5 WHEN 0 THEN 'Associate Professor' ELSE 'Professor' END AS title, dept AS departments,
+      array_to_string([format('fallback-pub-{{}}-{{}}', i + 1, j) for j in [1, 2, 3, 4]], ',') AS publications,
+      CASE i % 2 WHEN 0 THEN 'fallback-project-' || (i + 1) ELSE '' END AS projects, next AS coauthor FROM syn""",
+    "synthetic_works": f"""WITH {_SYNTHETIC} SELECT format('fallback-pub-{{}}-{{}}', i + 1, j + 1) AS id,
+      topic || ': ' || (['methods', 'evidence', 'systems', 'applications'])[j + 1] || ' in ' || dept AS title,
+      'A study of ' || lower(topic) || ' using contemporary approaches from ' || lower(dept) || ', with implications for communities and future research.' AS abstract,
+      (2023 + j)::INTEGER AS year, 'Journal of ' || dept AS venue, me || ',fallback-person-' || ((i + j + 1) % 300 + 1) AS authors FROM syn, (SELECT unnest(range(4)) AS j)""",
+    "synthetic_projects": f"""WITH {_SYNTHETIC} SELECT 'fallback-project-' || (i + 1) AS id, 'Advancing ' || topic || ' across communities' AS title,
+      'A sponsored research program investigating ' || lower(topic) || '.' AS description, CASE i % 4 WHEN 0 THEN '2027-12-31' ELSE '2025-12-31' END AS end_date,
+      (['NSF', 'NIH', 'Department of Energy'])[i % 3 + 1] AS funder, me || ',' || next AS people FROM syn WHERE i % 2 = 0""",
+    "publication_texts": "SELECT doc_id, md5(source || '. ' || coalesce(text, '') || ' ' || coalesce(lang, '')) AS digest FROM documents",
+    "person_texts": "SELECT p_partkey, concat_ws('. ', p_name, p_brand, p_type, p_name) AS text FROM part",
+    "replaced_names": "SELECT p_partkey, replace(replace(replace(p_type, 'ECONOMY', 'offer'), 'PROMO', 'offer'), 'LARGE', 'big') AS type FROM part",
+    "theme_counts": "SELECT p_size, least(count(*), 120) AS wanted, greatest(40, least(80, count(*)))::INTEGER AS themes FROM part GROUP BY p_size",
+    "lead_titles": f"""WITH {_AUTH} SELECT DISTINCT author, lower(o_orderpriority || ' ' || o_orderkey) AS title FROM auth JOIN orders ON o_orderkey = work
+      WHERE n_authors <= 50 AND (pos = 1 OR pos = n_authors)""",
+    "retained_works_by_author": f"WITH {_AUTH}, {_STATS}, {_KEEP} SELECT DISTINCT author, work FROM auth JOIN keep USING (author)",
+    "person_lists": f"""WITH {_AUTH}, {_STATS}, {_KEEP}, w AS (SELECT author, string_agg(work::VARCHAR, ',' ORDER BY work) AS publications FROM (SELECT DISTINCT author, work FROM auth) GROUP BY author),
+      u AS (SELECT l_partkey AS author, l_orderkey AS project, min(l_linenumber) AS pos FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+      p AS (SELECT author, string_agg(project::VARCHAR, ',' ORDER BY pos, project) AS projects FROM u GROUP BY author)
+      SELECT author, publications, coalesce(projects, '') AS projects FROM keep JOIN w USING (author) LEFT JOIN p USING (author)""",
+    "stored_explanations": f"""WITH {_VEC}, {_AUTH}, newest AS (SELECT author, work FROM auth JOIN works USING (work) QUALIFY row_number() OVER (PARTITION BY author ORDER BY year DESC, work) = 1)
+      SELECT author, p_name || ' matches through “order ' || work || '” and the theme ' || theme || ' theme.' AS explanation
+      FROM newest JOIN part ON p_partkey = author JOIN near ON id = author""",
+    "groups_of_theme": f"WITH {_VEC}, {_GROUPS} SELECT \"group\", theme FROM gt WHERE theme = 3",
+    "json_round_trip": "SELECT p_partkey, round(p_retailprice / 7, 8) AS price FROM part",
+    "robots_paths": """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+(/[^?#]*)', 1) AS path FROM pages)
+      SELECT page_id, CASE WHEN path LIKE '/en%' THEN false WHEN path LIKE '/e%' THEN true WHEN path LIKE '/%' THEN false ELSE true END AS allowed FROM p""",
+    "connected_components": f"""WITH RECURSIVE {_AUTH}, {_PAIRS}, e AS (SELECT a, b FROM pairs WHERE n >= 2), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      reach(node, r) AS (SELECT a, a FROM both_ways UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.r)
+      SELECT node, min(r) AS component FROM reach GROUP BY node""",
 }
