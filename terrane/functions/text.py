@@ -42,7 +42,7 @@ def person_text(name: str = "name", departments: str = "departments", texts: str
 
 
 def plausible_name(name: Column | str) -> Column:
-    """Two words or more with two letters or more each (C3). Compatibility forms are folded by the caller where a name is not ASCII."""
+    """Two words or more with two letters or more each (C3). people.with_plausible() folds compatibility forms first."""
     word = F.regexp_extract_all(name, F.lit(r"(\p{L}[\p{L}\p{M}'’-]*)"), F.lit(1))
     return F.size(F.filter(word, lambda w: F.length(F.regexp_replace(w, r"[^\p{L}]", "")) >= 2)) >= 2
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terrane.functions.text import first_filled, rebuilt, short_id, valid_date
 from terrane.operators.ingest import affiliated, first_wins, last_wins
+from terrane.sources.tables import write_json
 
 #: Schema of one work, as pages hold it.
 WORK = """id string, doi string, title string, publication_year int, publication_date string,
@@ -98,3 +99,17 @@ def cleaned_projects(projects: DataFrame, found: DataFrame, proved: DataFrame) -
 def described(df: DataFrame, source: str, scope: str, synthetic: bool = False, at: Column | None = None) -> DataFrame:
     """The rows with what says where they are from: source, scope, synthetic, generated_at."""
     return df.withColumns({"source": F.lit(source), "scope": F.lit(scope), "synthetic": F.lit(synthetic), "generated_at": F.current_timestamp() if at is None else at})
+
+
+def by_name(people: DataFrame) -> DataFrame:
+    """People in the order of their names as a reader sorts them, then of arrival."""
+    return people.orderBy(F.collate("name", "UNICODE"), "seq")
+
+
+def write_corpus(folder: str, people: DataFrame, publications: DataFrame, projects: DataFrame, meta: dict[str, object]) -> None:
+    """The corpus as JSON files in a folder: people by name, publications and projects as they are, and what describes them."""
+    spark = people.sparkSession
+    write_json(by_name(people), f"{folder}/people")
+    write_json(publications, f"{folder}/publications")
+    write_json(projects, f"{folder}/projects")
+    write_json(described(spark.range(1), **meta).drop("id"), f"{folder}/meta")

@@ -27,18 +27,37 @@ def dense_scores(vectors: DataFrame, query: list[float]) -> DataFrame:
     return vectors.select("id", dot("vec", query_column(query)).alias("score"))
 
 
-def rank_themes(scores: DataFrame, reps: DataFrame | None = None) -> DataFrame:
-    """theme, score: the scores of centroids (R1), or the mean score of each theme's reps(theme, id), nothing counting as 0 (R2)."""
+def _every(rows: DataFrame, queries: DataFrame | None) -> tuple[DataFrame, list[str]]:
+    """The rows, for each of queries(q) where there are several."""
+    return (rows, []) if queries is None else (rows.crossJoin(queries.select("q").distinct()), ["q"])
+
+
+def rank_themes(scores: DataFrame, reps: DataFrame | None = None, queries: DataFrame | None = None) -> DataFrame:
+    """theme, score: the scores of centroids (R1), or the mean score of each theme's reps(theme, id), nothing counting as 0 (R2).
+
+    With queries(q) and scores(q, id, score): for each query.
+    """
     if reps is None:
         return scores.select(F.col("id").alias("theme"), "score")
-    s = reps.select("theme", "id").join(scores, "id", "left")
-    return s.groupBy("theme").agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.count("*")).alias("score"))
+    rows, by = _every(reps.select("theme", "id"), queries)
+    s = rows.join(scores, [*by, "id"], "left")
+    return s.groupBy(*by, "theme").agg((F.sum(F.coalesce("score", F.lit(0.0))) / F.count("*")).alias("score"))
+
 
+def closest_papers(authorship: DataFrame, scores: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """author, work, score: everyone's best work (R3). Works without a score have 0: in the lexical space no word in common.
 
-def closest_papers(authorship: DataFrame, scores: DataFrame) -> DataFrame:
-    """author, work, score: everyone's best work."""
-    s = authorship.select("author", F.col("work").alias("id")).join(scores, "id")
-    return best_first(s, ["author"], [F.desc("score"), "id"]).select("author", F.col("id").alias("work"), "score")
+    With queries(q) and scores(q, id, score) of the lexical space, where none is below 0: for each query. Then only scores
+    above 0 are ranked, and who has none gets the first work; no pair without a common word is made.
+    """
+    own = authorship.select("author", F.col("work").alias("id"))
+    if queries is None:
+        s = own.join(scores, "id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        return best_first(s, ["author"], [F.desc("score"), "id"]).select("author", F.col("id").alias("work"), "score")
+    rows, by = _every(own.groupBy("author").agg(F.min("id").alias("first")), queries)
+    best = best_first(own.join(scores.filter("score > 0"), "id"), [*by, "author"], [F.desc("score"), "id"])
+    best = rows.join(best.select(*by, "author", "id", "score"), [*by, "author"], "left")
+    return best.select(*by, "author", F.coalesce("id", "first").alias("work"), F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 def theme_fit(people: DataFrame, themes: DataFrame, query: list[float]) -> DataFrame:
@@ -94,6 +113,16 @@ def student_matches(scores: DataFrame, k: int = 3, clamp: bool = True) -> DataFr
     return ranked(scores.select("id", s.alias("score")), ["id"], k)
 
 
+def student_matches_each(scores: DataFrame, students: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """q, id, score, rank: the k best of students(id) for each of queries(q), below 0 and no score being 0.
+
+    Beside the scores above 0 only 2 k - 1 students can be among the k best: those of the least ids.
+    """
+    known = best_first(scores.filter("score > 0"), ["q"], [F.desc("score"), "id"], k).select("q", "id", "score")
+    spare = students.select("id").orderBy("id").limit(2 * k - 1).crossJoin(queries.select("q").distinct()).join(known, ["q", "id"], "left_anti")
+    return best_first(known.unionByName(spare.withColumn("score", F.lit(0.0))), ["q"], [F.desc("score"), "id"], k)
+
+
 def reasons(papers: DataFrame, names: DataFrame, titles: DataFrame, theme: str | None) -> DataFrame:
     """author, reason for people(author, name): their closest work and the query's theme, or that there is none."""
     rows = names.select("author", "name").join(papers.join(titles.select("work", "title"), "work"), "author", "left")
@@ -172,3 +201,8 @@ def found(rows: DataFrame, key: str, value: object) -> DataFrame | None:
 def members_of(rows: DataFrame, ids: DataFrame, key: str, seq: str, k: int = 8) -> DataFrame:
     """The first k rows in corpus order whose key is listed."""
     return rows.join(ids.select(key).distinct(), key, "left_semi").orderBy(seq).limit(k)
+
+
+def groups_of_theme(groups: DataFrame, theme: object) -> DataFrame:
+    """The groups of a theme, in their order."""
+    return groups.filter(F.col("theme") == F.lit(theme))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from terrane.functions.text import plausible_name
 
@@ -23,10 +27,25 @@ def author_stats(authorship: DataFrame, works: DataFrame, cutoff: int) -> DataFr
     )
 
 
+@F.pandas_udf(T.StringType())
+def _folded(names: pd.Series) -> pd.Series:
+    return names.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
+
+
+def with_plausible(people: DataFrame) -> DataFrame:
+    """people(name, ...) plus plausible (C3), judged on the name in compatibility composition (NFKC).
+
+    That changes no ASCII name, so only the others pass through Python.
+    """
+    plain = F.coalesce(F.length("name") == F.octet_length("name"), F.lit(True))
+    rest = people.filter(~plain).withColumn("plausible", plausible_name(_folded("name")))
+    return people.filter(plain).withColumn("plausible", plausible_name("name")).unionAll(rest)
+
+
 def retained_people(people: DataFrame, stats: DataFrame, least: int = 3) -> DataFrame:
     """people(author, name) with a plausible name, enough works, one recent and one led."""
     good = stats.filter((F.col("n_works") >= least) & F.col("recent") & F.col("lead"))
-    return people.filter(plausible_name("name")).join(good.select("author"), "author", "left_semi")
+    return with_plausible(people).filter("plausible").drop("plausible").join(good.select("author"), "author", "left_semi")
 
 
 def retained_works(authorship: DataFrame, people: DataFrame) -> DataFrame:
@@ -34,6 +53,25 @@ def retained_works(authorship: DataFrame, people: DataFrame) -> DataFrame:
     return authorship.join(people.select("author"), "author", "left_semi").select("work").distinct()
 
 
+def retained_by_author(authorship: DataFrame, people: DataFrame) -> DataFrame:
+    """author, work of retained people: each of their works is retained by them (C9). The authorship is without oversized works."""
+    return authorship.join(people.select("author"), "author", "left_semi").select("author", "work").distinct()
+
+
+def person_lists(people: DataFrame, retained: DataFrame, order: DataFrame, listed: DataFrame, projects: DataFrame) -> DataFrame:
+    """people(author) -> author, publications, projects (C14).
+
+    publications are the retained(author, work) in corpus order(work, seq); projects are the listed(author, pos, project)
+    that still exist, in their order.
+    """
+    in_order = lambda at, what: F.transform(F.array_sort(F.collect_list(F.struct(at, what))), lambda s: s[what])
+    works = retained.join(order.select("work", "seq"), "work").groupBy("author").agg(in_order("seq", "work").alias("publications"))
+    own = listed.join(projects.select("project"), "project", "left_semi").groupBy("author").agg(in_order("pos", "project").alias("projects"))
+    rows = people.select("author").join(works, "author", "left").join(own, "author", "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(like.schema[c].dataType)).alias(c)
+    return rows.select("author", none("publications", works), none("projects", own))
+
+
 def lead_titles(authorship: DataFrame, titles: DataFrame) -> DataFrame:
     """author, title (lower case) of works that the author leads."""
     lead = authorship.filter((F.col("pos") == 1) | (F.col("pos") == F.col("n_authors")))
@@ -77,3 +115,14 @@ def open_people(signals: DataFrame, overrides: DataFrame) -> DataFrame:
     """Authors who are open: the override where there is one, else the stored flag."""
     both = signals.select("author", "opted_in").join(overrides.select("author", "is_open"), "author", "left")
     return both.filter(F.coalesce("is_open", "opted_in", F.lit(False))).select("author")
+
+
+def stored_explanations(people: DataFrame, themes: DataFrame, authorship: DataFrame, works: DataFrame) -> DataFrame:
+    """author, explanation (E2): themes(author, theme_name) are people's best ones; the paper is the newest, the first listed of equal ones.
+
+    works(work, title, year, seq): seq is the order in which papers are listed. A work without a year is the oldest.
+    """
+    order = F.struct(F.coalesce("year", F.lit(-1)), -F.col("seq"))
+    paper = authorship.join(works, "work").groupBy("author").agg(F.max_by("title", order).alias("title"))
+    told = F.format_string("%s matches through “%s” and the %s theme.", "name", "title", "theme_name")
+    return people.select("author", "name").join(paper, "author").join(themes.select("author", "theme_name"), "author").select("author", told.alias("explanation"))

@@ -57,31 +57,47 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 12) -> tuple[Data
     """Assignments (id, cluster, score) and centroids (K4): argmax of the dot product, ties to the lowest cluster.
 
     At most `rounds` rounds, stopping before the update once nothing moves; empty clusters keep their
-    centroid. A round is a map pass with the k centroids and an aggregation of cluster sums.
+    centroid. A round is one map pass: every task adds its vectors up by cluster, so that k sums and a mark of the
+    assignments leave it, whatever the number of rows.
     """
     centers = np.array([v for _, v in farthest_first(vectors, k)])
     schema = T.StructType([vectors.schema["id"], T.StructField("cluster", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
+    def nearest(pdf: pd.DataFrame, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        s = np.round(_matrix(pdf) @ centers.T, 12)
+        best = s.argmax(axis=1)
+        return best, s[np.arange(len(s)), best]
+
     def assigned(centers: np.ndarray) -> DataFrame:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
                 if len(pdf):
-                    s = np.round(_matrix(pdf) @ centers.T, 12)
-                    best = s.argmax(axis=1)
-                    yield pd.DataFrame({"id": pdf["id"], "cluster": best.astype("int32"), "score": s[np.arange(len(s)), best]})
+                    best, score = nearest(pdf, centers)
+                    yield pd.DataFrame({"id": pdf["id"], "cluster": best.astype("int32"), "score": score})
 
         return vectors.select("id", "vec").mapInPandas(run, schema)
 
-    state = None
+    def sums(centers: np.ndarray) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total, mark = np.zeros_like(centers), np.uint64(0)
+            for pdf in frames:
+                if len(pdf):
+                    best, _ = nearest(pdf, centers)
+                    np.add.at(total, best, _matrix(pdf))
+                    named = pd.util.hash_pandas_object(pdf.assign(cluster=best)[["id", "cluster"]], index=False).to_numpy()
+                    mark ^= np.bitwise_xor.reduce(named)
+            c, d = np.indices(total.shape)
+            yield pd.DataFrame({"cluster": c.ravel(), "d": d.ravel(), "x": total.ravel(), "mark": np.full(total.size, mark).view(np.int64)})
+
+        return vectors.select("id", "vec").mapInPandas(run, "cluster long, d long, x double, mark long")
+
+    last = state = None
     for _ in range(rounds):
-        now = assigned(centers)
-        mark = now.agg(F.sum(F.xxhash64("id", "cluster").cast("decimal(38,0)"))).first()[0]
-        if mark == state:
+        rows = sums(centers).groupBy("cluster", "d").agg(F.sum("x").alias("x"), F.bit_xor("mark").alias("mark")).collect()
+        if not rows or rows[0]["mark"] == state:
             break
-        state = mark
-        sums = now.join(vectors, "id").select("cluster", F.posexplode("vec").alias("d", "x")).groupBy("cluster", "d").agg(F.sum("x").alias("x")).collect()
-        new = np.zeros_like(centers)
-        for r in sums:
+        new, state = np.zeros_like(centers), rows[0]["mark"]
+        for r in rows:
             new[r["cluster"], r["d"]] = r["x"]
         size = np.linalg.norm(new, axis=1, keepdims=True)
         last, centers = centers, np.where(size > 0, new / np.where(size > 0, size, 1), centers)

@@ -10,9 +10,9 @@ from pyspark.sql.window import Window
 AS_OF, CUTOFF = 2001, 1998
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A whole-file JSON document."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_json(spark: SparkSession, path: str, schema: StructType, lines: bool = False) -> DataFrame:
+    """Whole-file JSON documents, or files of one document a line as write_json() makes them."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:
