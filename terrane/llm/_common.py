@@ -2,44 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null integer id in keys; it sorts before every other id.
-NO_ID = -(2**63)
+from terrane.sources.scratch import drop_table, table
 
+__all__ = ["NO_ID", "components", "drop_table", "key_of", "load", "lower_ascii", "release", "table", "union_all"]
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a local one is set only where none is configured, as in tests."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not named:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="terrane-"))
-        named = sc.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def table(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/terrane/{uuid.uuid4().hex}-{tag}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._terrane_path = path
-    return out
-
-
-def drop_table(df: DataFrame) -> None:
-    """Remove a table() that no later plan reads."""
-    path = getattr(df, "_terrane_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+#: Stands for a null integer id in keys; it sorts before every other id.
+NO_ID = -(2**63)
 
 
 def release(spark: SparkSession) -> None:

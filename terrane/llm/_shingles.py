@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RNG = np.random.Generator(np.random.PCG64(20240229))
@@ -44,6 +45,21 @@ def prefix_hash(data: np.ndarray, table: np.ndarray = _BYTE) -> np.ndarray:
     return out
 
 
+#: Strings over so many bytes are named by xxhash: polynomial sums modulo 2**64 collide for whole families of
+#: strings of a thousand bytes, whatever the base.
+LONG, _SEED = 256, 0x5EED
+
+
+def string_names(data: np.ndarray, start: np.ndarray, end: np.ndarray, total: np.ndarray, lower: bool = True) -> np.ndarray:
+    """64-bit names of the byte strings [start, end), A-Z as a-z where total is of prefix_hash(data)."""
+    _, down = powers(len(data))
+    out = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    for i in np.flatnonzero(end - start > LONG):
+        raw = data[start[i] : end[i]]
+        out[i] = xxhash.xxh3_64_intdigest((raw + 32 * ((raw >= 65) & (raw <= 90)) if lower else raw).astype(np.uint8).tobytes(), _SEED)
+    return out
+
+
 def pieces(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of about `most` bytes: first row, row after the last, bytes, text offsets in them. Null is empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -86,8 +102,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, size: int = 5) -> tuple[np.
     start, end, owner = words(data, ends)
     if not len(start):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    total, (_, down) = prefix_hash(data), powers(len(data))
-    word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    word = string_names(data, start, end, prefix_hash(data))
     count = np.bincount(owner, minlength=n)
     first = np.concatenate([[0], np.cumsum(count)])
     acc = np.zeros(max(0, len(word) - size + 1), dtype=np.uint64)

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from terrane.llm.line_dedup import OP4_SQL, op4_line_dedup
 from terrane.llm.minhash import OP6_SQL, op6_minhash
 from terrane.llm.mixing import op2_mixing
@@ -29,9 +28,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_paragraphs": op8_paragraphs,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
-    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": OP4_SQL, "op6_minhash": OP6_SQL, "op7_projections": OP7_SQL}
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
