@@ -20,8 +20,8 @@ from terrane.llm._common import load, table
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l"}
 CYRILLIC_GREEK = dict(zip("авгеикмнорстухіјѕԁαβεικνορτυχ", "abreukmhopctyxijsdabeikvoptux", strict=True))
 
-#: Bounds of what is learned: labelled rows in the sample, entries of the lexicon, exception phrases.
-SAMPLE_ROWS, LEXICON_SIZE, EXCEPTIONS = 20_000, 4_096, 512
+#: Labelled rows in the sample that the lexicon is learned from; its size follows from them and from the thresholds.
+SAMPLE_ROWS = 20_000
 #: An entry needs toxic documents and log odds; prefixes need more of both, as they also meet harmless words.
 LEAST_DOCS, LEAST_ODDS, PREFIX_DOCS, PREFIX_ODDS = 6, 2.0, 12, 3.0
 PREFIXES = (5, 6, 7)
@@ -134,7 +134,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     strong = counted(entries).withColumn("w", odds).filter(
         (whole & (F.col("bad") >= LEAST_DOCS) & (F.col("w") >= LEAST_ODDS)) | (~whole & (F.col("bad") >= PREFIX_DOCS) & (F.col("w") >= PREFIX_ODDS))
     )
-    rows = strong.orderBy(F.desc(F.round("w", 9)), "k").limit(LEXICON_SIZE).collect()
+    rows = sorted(strong.collect(), key=lambda r: (-round(r["w"], 9), r["k"]))
     lexicon = Lexicon({r["k"]: round(r["w"], 6) for r in rows})
     if rows:
         known = {k.strip() for k in lexicon.weights if k.endswith(" ")}
@@ -143,8 +143,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             w = folded.split()
             return {f" {w[i]} {w[i + 1]} " for i in range(len(w) - 1) if w[i] in known or w[i + 1] in known}
 
-        mild = counted(phrases).filter((F.col("bad") == 0) & (F.col("good") >= 3)).orderBy(F.desc("good"), "k").limit(EXCEPTIONS)
-        lexicon.exceptions = [r["k"] for r in mild.collect()]
+        mild = counted(phrases).filter((F.col("bad") == 0) & (F.col("good") >= 3))
+        lexicon.exceptions = sorted(r["k"] for r in mild.collect())
     judged = _scored(sample.withColumn("doc_id", F.col("toxic").cast("long")), lexicon).select("doc_id", "strength").collect()
     _calibrate(lexicon, np.array([r["strength"] for r in judged]), np.array([r["doc_id"] for r in judged], dtype=float))
     return lexicon
@@ -186,8 +186,8 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     The whole text is folded and scanned once. Null and empty texts have strength 0 and the score of a text
     without any match. Every row is scored by itself, repeated ones alike; an empty table gives an empty
-    result. The lexicon travels to the executors with the function; it holds at most 4,096 entries and 512
-    phrases.
+    result. Other columns are not read. The lexicon travels to the executors with the function; it grows with the
+    sample that it was learned from, not with the documents.
     """
     out = _scored(docs, lexicon)
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "strength")
