@@ -16,33 +16,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 RANGES = 256
 #: The dynamic programme's budget; what is above goes by proportion and by greedy fill.
 DP_WORDS = 1 << 16
+#: Documents of each length that the proportional share leaves to the knapsack, at first and then.
+BACK = (4, 64)
 
 
-def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
-    """How many documents of each length to take, each at most once, so that the sum comes nearest to budget from below.
+def _knapsack(lengths: list[int], left: list[int], budget: int) -> list[int]:
+    """How many of each length come nearest to budget from below, at most left[i] of lengths[i].
 
-    A proportional share of every length first, then the longest that fit, until the rest is within dp_words;
-    the rest by bounded-knapsack dynamic programming on a bit set of reachable sums.
+    Dynamic programming on a bit set of reachable sums, with items of doubling multiplicity, short documents
+    first; it stops as soon as the budget itself is reachable.
     """
-    total = sum(n * c for n, c in zip(lengths, counts, strict=True))
-    if total <= budget:
-        return list(counts)
-    take = [c * budget // total for c in counts]
-    rest = budget - sum(n * k for n, k in zip(lengths, take, strict=True))
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        if lengths[i] and rest > dp_words:
-            k = min(counts[i] - take[i], (rest - dp_words) // lengths[i])
-            take[i] += k
-            rest -= k * lengths[i]
-    # items of doubling multiplicity, short documents first; stop as soon as the budget itself is reachable
-    reach, mask, steps = 1, (1 << (rest + 1)) - 1, []
-    for i in sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= rest), key=lambda i: lengths[i]):
-        left, k = min(counts[i] - take[i], rest // lengths[i]), 1
-        while left and not reach >> rest & 1:
-            k = min(k, left)
+    reach, mask, steps, take = 1, (1 << (budget + 1)) - 1, [], [0] * len(lengths)
+    for i in sorted((i for i in range(len(lengths)) if 0 < lengths[i] <= budget), key=lambda i: lengths[i]):
+        some, k = min(left[i], budget // lengths[i]), 1
+        while some and not reach >> budget & 1:
+            k = min(k, some)
             steps.append((i, k, reach))
             reach |= reach << (k * lengths[i]) & mask
-            left -= k
+            some -= k
             k *= 2
     at = reach.bit_length() - 1
     for i, k, before in reversed(steps):
@@ -52,6 +43,36 @@ def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_words: int
     return take
 
 
+def fit_budget(lengths: list[int], counts: list[int], budget: int, dp_words: int = DP_WORDS) -> list[int]:
+    """How many documents of each length to take, each at most once, so that the sum comes near to budget from below.
+
+    A proportional share of every length but BACK documents, then the longest that fit, until the rest is within
+    dp_words; the rest by the knapsack over all documents that are left. While that misses the budget, more of
+    the share is given back, at last all of it: a budget within dp_words is met as nearly as any choice can.
+    """
+    words = lambda take: sum(n * k for n, k in zip(lengths, take, strict=True))
+    total, best = words(counts), None
+    if total <= budget:
+        return list(counts)
+    for back in (*BACK, max(counts)):
+        take = [max(0, c * budget // total - back) for c in counts]
+        rest = budget - words(take)
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            if lengths[i] and rest > dp_words:
+                k = min(counts[i] - take[i], (rest - dp_words) // lengths[i])
+                take[i] += k
+                rest -= k * lengths[i]
+        if rest > dp_words + max(lengths):  # no room for it: the share given back before is the most
+            break
+        more = _knapsack(lengths, [c - k for c, k in zip(counts, take, strict=True)], rest)
+        take = [k + m for k, m in zip(take, more, strict=True)]
+        if best is None or words(take) > words(best):
+            best = take
+        if words(best) == budget:
+            break
+    return best
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, most: float) -> DataFrame:
     """sizes(source, source_size) -> plus target. Sources by code point, null last, get weights in turn.
 
