@@ -11,17 +11,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm._common import drop_table, key_of, load, release, table, union_all
-from terrane.llm._shingles import mix, pieces, powers, prefix_hash
+from terrane.llm._shingles import mix, pieces
 
-#: Length of the grams whose hashes choose the sample, and starts that one detailed key stands for.
+#: Length of the grams that choose the sample, and starts that one detailed key stands for.
 GRAM, STRIDE = 8, 16
-_BYTES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTES = np.random.Generator(np.random.PCG64(77)).integers(1, 1 << 31, 256, dtype=np.uint64)
 
 
-def _hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+#: Primes under 2**31 and bases of the two sums that name a string.
+FIELDS = ((2147483647, 1103515245), (2147483629, 22695477))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _field_powers(n: int, prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0..n of the base and of its inverse, modulo the prime."""
+    if prime not in _powers or len(_powers[prime][0]) <= n:
+        size, out = 1 << max(16, (n + 1).bit_length()), []
+        for x in (base, pow(base, -1, prime)):
+            p = np.ones(size, dtype=np.uint64)
+            have = 1
+            while have < size:
+                p[have : 2 * have] = p[:have] * np.uint64(pow(x, have, prime)) % np.uint64(prime)
+                have *= 2
+            out.append(p)
+        _powers[prime] = (out[0], out[1])
+    return _powers[prime]
+
+
+def sums(data: np.ndarray) -> list[np.ndarray]:
+    """Per field, entry i: the sum over data[:i] of the bytes times the base's powers. Names are taken modulo primes: no family of strings collides, as it does modulo 2**64."""
+    out = []
+    for prime, base in FIELDS:
+        up, _ = _field_powers(len(data), prime, base)
+        total = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(_BYTES[data] * up[: len(data)] % np.uint64(prime), out=total[1:])
+        out.append(total)
+    return out
+
+
+def _hash(total: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit names of the substrings [start, end)."""
-    _, down = powers(len(total))
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    name = np.zeros(len(start), dtype=np.uint64)
+    for t, (prime, base) in zip(total, FIELDS, strict=True):
+        _, down = _field_powers(len(t), prime, base)
+        p = np.uint64(prime)
+        name = (name << np.uint64(31)) + (t[end] - t[start]) % p * down[start] % p
+    return mix(mix(name) + (end - start).astype(np.uint64))
+
+
+def _grams(data: np.ndarray) -> np.ndarray:
+    """The GRAM bytes from every position on, scrambled."""
+    x = data.astype(np.uint64)
+    for width in (1, 2, 4):
+        x = x[:-width] | x[width:] << np.uint64(8 * width)
+    return mix(x)
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -34,7 +77,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def samples(data: np.ndarray, total: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def samples(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Text number, sampled position, first and last start that own it, for a run of texts.
 
     A start i owns the position of the least gram hash among the length / 2 positions from i on. What a
@@ -46,8 +89,8 @@ def samples(data: np.ndarray, total: np.ndarray, ends: np.ndarray, length: int)
     width = length // 2
     if len(data) < length:
         return none
-    grams = np.arange(len(data) - GRAM + 1)
-    value = _hash(total, grams, grams + GRAM) & np.uint64(0xFFFFFFFF00000000) | grams.astype(np.uint64)
+    grams = _grams(data)
+    value = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
     least = (_least(value, width) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     start = np.arange(len(data) - length + 1)
     of = np.searchsorted(ends, start, side="right") - 1
@@ -69,8 +112,8 @@ def _sampled(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             i, t = batch.column("i").to_numpy(), batch.column("t").to_numpy()
             for first, _, data, ends in pieces(batch.column("text")):
-                total = prefix_hash(data, _BYTES)
-                of, p, lo, hi = samples(data, total, ends, length)
+                total = sums(data)
+                of, p, lo, hi = samples(data, ends, length)
                 near = _hash(total, p, p + length // 2)
                 wide = mix(_hash(total, lo, hi + length) + (p - lo).astype(np.uint64))
                 base = ends[of]
@@ -89,7 +132,7 @@ def _ranges(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 data = np.frombuffer(batch.column("text")[r].as_py().encode(), dtype=np.uint8)
-                total = prefix_hash(data, _BYTES)
+                total = sums(data)
                 at = batch.column("at")[r].values
                 p, lo, hi = (np.asarray(at.field(k), dtype=np.int64) for k in range(3))
                 # strides of the distance from the start to p, the same wherever the string occurs
@@ -116,7 +159,7 @@ def _starts(texts: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 data = np.frombuffer(batch.column("text")[r].as_py().encode(), dtype=np.uint8)
-                total = prefix_hash(data, _BYTES)
+                total = sums(data)
                 at = batch.column("at")[r].values
                 lo, hi = (np.asarray(at.field(k), dtype=np.int64) for k in (1, 2))
                 start = np.unique(np.concatenate([np.arange(x, y + 1) for x, y in zip(lo, hi, strict=True)]))
