@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terrane.llm._common import key_of, load, lower_ascii, table
 
 BLANKS = " \t\n\x0b\x0c\r"
+ADDED = ("n_lines", "n_dropped", "kept_text")
 
 
 def _hash(key: Column) -> Column:
@@ -22,31 +23,32 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     points or more in min_docs distinct documents or more lose all lines, except those of the largest
     doc_id that holds the key. A null or empty text is one empty line. Rows with one doc_id count as one
     document and are treated alike; rows without doc_id count as one document with the smallest id. An
-    empty table gives an empty result. Columns of docs are kept, the three added ones replace namesakes.
+    empty table gives an empty result. Columns of docs are kept, whatever their names; the three added ones
+    replace namesakes.
 
-    The shuffle carries 96-bit hashes instead of lines; the keys over the threshold are written as a table,
+    The shuffle carries 96-bit hashes and places instead of lines; a text is put together from the runs between
+    its dropped places, in time proportional to its lines; the keys over the threshold are written as a table,
     so that the join with it is a broadcast where its size is small and a splittable shuffle join elsewhere.
     """
-    docs = docs.drop("n_lines", "n_dropped", "kept_text")
-    ident = key_of("doc_id")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = docs.select(ident.alias("i"), F.explode(F.split(lower_ascii(text), "\n")).alias("line"))
-    keys = lines.select("i", F.btrim("line", F.lit(BLANKS)).alias("k")).filter(F.length("k") >= min_chars)
-    keys = keys.select("i", _hash(F.col("k")).alias("h")).select("i", "h.h1", "h.h2")
+    own = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns if c not in ADDED]
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    whole = docs.select(key_of("doc_id").alias("i"), F.xxhash64(text("text")).alias("t"), F.struct(*own).alias("row"))
+    lines = whole.select("i", "t", F.posexplode(F.split(lower_ascii(text("row.text")), "\n")).alias("pos", "line"))
+    keys = lines.select("i", "t", "pos", F.btrim("line", F.lit(BLANKS)).alias("k")).filter(F.length("k") >= min_chars)
+    keys = keys.select("i", "t", "pos", _hash(F.col("k")).alias("h")).select("i", "t", "pos", "h.h1", "h.h2")
     shared = keys.groupBy("h1", "h2").agg(F.count_distinct("i").alias("n"), F.max("i").alias("keep")).filter(F.col("n") >= min_docs)
     shared = table(shared.select("h1", "h2", "keep"), "shared-lines")
-    drops = keys.join(shared, ["h1", "h2"]).filter("i != keep").select("i", "h1", "h2").distinct()
-    drops = drops.groupBy("i").agg(F.collect_list(F.struct("h1", "h2")).alias("_drop")).withColumnRenamed("i", "_key")
-    joined = docs.withColumn("_key", ident).join(drops, "_key", "left").drop("_key")
-    raw = F.split(text, "\n")
-    kept = F.filter(raw, lambda x: ~F.array_contains(F.col("_drop"), _hash(F.btrim(lower_ascii(x), F.lit(BLANKS)))))
-    joined = joined.withColumn("_kept", F.when(F.col("_drop").isNotNull(), kept))
-    return (
-        joined.withColumn("n_lines", F.size(raw).cast("long"))
-        .withColumn("n_dropped", F.when(F.col("_drop").isNull(), F.lit(0)).otherwise(F.size(raw) - F.size("_kept")).cast("long"))
-        .withColumn("kept_text", F.when(F.col("_drop").isNull(), text).otherwise(F.array_join("_kept", "\n")))
-        .drop("_drop", "_kept")
-    )
+    drops = keys.join(shared, ["h1", "h2"]).filter("i != keep").groupBy("i", "t").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
+    raw = F.split(text("row.text"), "\n")
+    # runs of lines between dropped places, put together again
+    edges = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size(raw)))
+    run = lambda j: F.slice(raw, F.get(edges, j) + 2, F.get(edges, j + 1) - F.get(edges, j) - 1)
+    kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size("gone")), run)), "\n")
+    out = whole.join(drops, ["i", "t"], "left").select(
+        "row", F.size(raw).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("gone").isNull(), text("row.text")).otherwise(kept).alias("kept_text"),
+    )
+    return out.select("row.*", *ADDED)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
