@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from terrane.llm._common import drop_table, load, table
-from terrane.llm._shingles import mix, pieces, prefix_hash, powers, words
+from terrane.llm._shingles import mix, pieces, prefix_hash, string_names, words
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -22,19 +22,21 @@ _EXACT = np.random.Generator(np.random.PCG64(5)).integers(1, 1 << 63, 256, dtype
 _ODD = np.random.Generator(np.random.PCG64(6)).integers(1, 1 << 63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 FEATURES = 5
-#: Share of a group's documents that the estimate rests on, concentration steps, rows that the estimate one level
-#: up counts as: ten for each statistic.
-SUPPORT, STEPS, PRIOR = 0.75, 4, 50
+#: Share of a group's documents that the estimate rests on, most concentration steps, rows that the estimate one
+#: level up counts as: ten for each statistic.
+SUPPORT, STEPS, PRIOR = 0.75, 12, 50
+#: Change of the logarithm of a determinant under which a start has settled.
+SETTLED = 1e-6
 #: Least standard deviation of each transformed statistic: what differs by less is no outlier.
-FLOORS = (0.7, 0.08, 0.25, 0.15, 0.12)
-#: Squared distances beyond this are outliers: about the chi-squared quantile 1 - 1.5e-8 at 5 degrees of
-#: freedom.
-CUTOFF = 45.0
+FLOORS = (0.7, 0.08, 0.25, 0.15, 0.11)
+#: Squared distances beyond the chi-squared quantile 1 - 1e-6 at 5 degrees of freedom are outliers. Each statistic
+#: can reach it by itself.
+CUTOFF = 35.888
 #: The chi-squared quantile at 5 degrees of freedom that SUPPORT of a normal sample lies under, and the
 #: factor by which the covariance of that part falls short.
 CHI_SUPPORT, CONSISTENCY = 6.6257, 0.75 / 0.5213
 #: Bins of the logarithm of the squared distance.
-BINS, BIN_STEP, BIN_LOW = 96, 0.125, -4.0
+BINS, BIN_STEP, BIN_LOW = 192, 0.0625, -4.0
 
 
 def _repeats(lines: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -61,7 +63,7 @@ def text_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     out[:, 2] = per(_SYMBOL[data])
     if not len(start):
         return out
-    total, (_, down) = prefix_hash(data, _EXACT), powers(len(data))
+    total = prefix_hash(data, _EXACT)
     # lines: between feeds and text ends
     feeds = np.flatnonzero(data == 10)
     first = np.unique(np.concatenate([ends[:-1], feeds + 1]))
@@ -71,12 +73,12 @@ def text_counts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     solid = np.concatenate([[0], np.cumsum(~blank)])
     real = (last > first) & (solid[np.maximum(last, first)] > solid[first])
     first, last = first[real], last[real]
-    named = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    named = string_names(data, first, last, total, lower=False)
     of = np.searchsorted(ends, first, side="right") - 1
     out[:, 3] = np.bincount(of[_repeats(named, of)], minlength=n)
     # windows of three words
     if len(start) >= 3:
-        word = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        word = string_names(data, start, end, total, lower=False)
         three = mix(word[:-2] * _ODD[0] + word[1:-1] * _ODD[1] + word[2:] * _ODD[2])
         inside = np.flatnonzero(owner[:-2] == owner[2:])
         value, own = three[inside], owner[inside]
@@ -126,81 +128,140 @@ def _distance() -> Column:
     return sum((d[i] * d[j] * F.get("prec", F.lit(i * FEATURES + j)) for i in range(FEATURES) for j in range(FEATURES)), F.lit(0.0))
 
 
-def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Mean, precision and covariance of the nearest SUPPORT of a group, from the moments of its distance bins.
+def floored(cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """Precision and log determinant of a covariance whose least variances are raised, in units of the floors.
 
-    With a mean and covariance from one level up (mu0, cov0), the result is that of the group's rows and PRIOR rows so distributed.
+    So the estimate stays invertible where a statistic hardly varies or a group has few rows.
     """
-    pdf = pdf.sort_values("bin").reset_index(drop=True)
-    up = np.cumsum(pdf["n"].to_numpy())
-    until = int(np.searchsorted(up, SUPPORT * up[-1])) + 1
-    near = pdf.iloc[:until]
-    n = near["n"].sum()
-    mean = np.array([near[f"s{i}"].sum() for i in range(FEATURES)]) / n
-    cov = np.empty((FEATURES, FEATURES))
-    for i in range(FEATURES):
-        for j in range(FEATURES):
-            a, b = min(i, j), max(i, j)
-            cov[i, j] = near[f"q{a}{b}"].sum() / n - mean[i] * mean[j]
-    cov = (cov + cov.T) / 2 * CONSISTENCY
-    if pdf["mu0"].iloc[0] is not None:
-        mean0, cov0 = np.array(pdf["mu0"].iloc[0]), np.array(pdf["cov0"].iloc[0]).reshape(FEATURES, FEATURES)
-        w, apart = up[-1] / (up[-1] + PRIOR), mean - mean0
-        mean, cov = mean0 + w * apart, w * cov + (1 - w) * cov0 + w * (1 - w) * np.outer(apart, apart)
-    floor = np.array(FLOORS) ** 2
-    # raise the least variances, in units of the floors: the estimate stays invertible where a statistic hardly varies
-    unit = 1 / np.sqrt(floor)
+    unit = 1 / np.array(FLOORS)
     value, vector = np.linalg.eigh(cov * np.outer(unit, unit))
-    prec = (vector / np.maximum(value, 1.0)) @ vector.T * np.outer(unit, unit)
-    return pd.DataFrame({"grp": [pdf["grp"].iloc[0]], "mu": [np.round(mean, 9).tolist()], "prec": [np.round(prec.ravel(), 9).tolist()], "cov": [np.round(cov.ravel(), 9).tolist()]})
-
-
-def _estimates(fit: DataFrame, prior: DataFrame) -> DataFrame:
-    """Of each group of fit(grp, x0..x4), with prior(grp, mu0, cov0): grp, mu, prec, cov."""
-    schema = "grp string, mu array<double>, prec array<double>, cov array<double>"
-    mid = fit.groupBy("grp").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i in range(FEATURES)])
-    spread = [F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(FEATURES)]
-    prec = [F.lit(0.0) if i != j else 1 / (spread[i] * spread[i]) for i in range(FEATURES) for j in range(FEATURES)]
-    est = table(mid.select("grp", F.array(*[F.col(f"m{i}")[1] for i in range(FEATURES)]).alias("mu"), F.array(*prec).alias("prec")), "estimate")
-    moments = [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)]]
-    moments += [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(FEATURES) for j in range(i, FEATURES)]
+    value = np.maximum(value, 1.0)
+    return (vector / value) @ vector.T * np.outer(unit, unit), float(np.log(value).sum())
+
+
+_MOMENTS = [f"s{i}" for i in range(FEATURES)] + [f"q{i}{j}" for i in range(FEATURES) for j in range(i, FEATURES)]
+
+
+def _moments() -> list[Column]:
+    return [F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(FEATURES)], *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(FEATURES) for j in range(i, FEATURES)]]
+
+
+def _mean_cov(n: float, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """From a count and _MOMENTS."""
+    mean, cov = sums[:FEATURES] / n, np.empty((FEATURES, FEATURES))
+    upper = np.triu_indices(FEATURES)
+    cov[upper] = sums[FEATURES:] / n
+    cov.T[upper] = cov[upper]
+    return mean, cov - np.outer(mean, mean)
+
+
+_ESTIMATE = "key string, start int, n long, mu array<double>, cov array<double>, prec array<double>, logdet double"
+
+
+def _estimate_row(key: str, start: int, n: int, mean: np.ndarray, cov: np.ndarray) -> dict:
+    prec, logdet = floored(cov)
+    return {"key": key, "start": start, "n": n, "mu": np.round(mean, 9).tolist(), "cov": np.round(cov.ravel(), 9).tolist(), "prec": np.round(prec.ravel(), 9).tolist(), "logdet": round(logdet, 9)}
+
+
+def _concentrated(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The estimate of the nearest SUPPORT of a group's rows, from the moments of its distance bins: of the last bin the part that is missing."""
+    pdf = pdf.sort_values("bin")
+    n = pdf["n"].to_numpy(dtype=float)
+    want = SUPPORT * n.sum()
+    part = np.clip((want - (np.cumsum(n) - n)) / n, 0, 1)
+    mean, cov = _mean_cov(want, part @ pdf[_MOMENTS].to_numpy())
+    return pd.DataFrame([_estimate_row(pdf["key"].iloc[0], int(pdf["start"].iloc[0]), int(n.sum()), mean, cov * CONSISTENCY)])
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """Three starts for each key: medians and quartile spreads; mean and covariance of all rows; medians and the covariance of squashed deviations."""
+    mid = rows.groupBy("key").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 1000).alias(f"m{i}") for i in range(FEATURES)])
+    spread = F.array(*[F.greatest((F.col(f"m{i}")[2] - F.col(f"m{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in range(FEATURES)])
+    mid = table(mid.select("key", F.array(*[F.col(f"m{i}")[1] for i in range(FEATURES)]).alias("m"), spread.alias("spread")), "middles")
+    squashed = rows.join(mid, "key").select("key", "m", "spread", *[F.tanh((F.col(f"x{i}") - F.get("m", F.lit(i))) / F.get("spread", F.lit(i))).alias(f"x{i}") for i in range(FEATURES)])
+    plain = rows.groupBy("key").agg(*_moments()).withColumns({"m": F.lit(None).cast("array<double>"), "spread": F.lit(None).cast("array<double>")})
+    both = plain.select("key", "m", "spread", "n", *_MOMENTS).unionAll(squashed.groupBy("key").agg(F.first("m").alias("m"), F.first("spread").alias("spread"), *_moments()).select("key", "m", "spread", "n", *_MOMENTS))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            out = []
+            for row, sums in zip(pdf.itertuples(), pdf[_MOMENTS].to_numpy(dtype=float), strict=True):
+                mean, cov = _mean_cov(row.n, sums)
+                if row.m is None:
+                    out.append(_estimate_row(row.key, 1, row.n, mean, cov))
+                else:
+                    m, spread = np.array(row.m), np.array(row.spread)
+                    out.append(_estimate_row(row.key, 0, row.n, m, np.diag(spread**2)))
+                    out.append(_estimate_row(row.key, 2, row.n, m, cov * np.outer(spread, spread)))
+            yield pd.DataFrame(out, columns=["key", "start", "n", "mu", "cov", "prec", "logdet"])
+
+    return table(both.mapInPandas(run, _ESTIMATE), "estimates")
+
+
+def least_determinants(rows: DataFrame) -> DataFrame:
+    """rows(key, x0..x4) -> key, n, mu, cov: of the nearest SUPPORT of each key's rows around an estimate that they give themselves.
+
+    From every start, concentration steps go on until no determinant changes; the start of the least determinant
+    counts. A step is one aggregation with map-side combine for all keys and starts: moments per distance bin (192 at
+    most); the nearest share is a run of bins, so no group is ever sorted or collected.
+    """
+    est = _starts(rows)
     for _ in range(STEPS):
-        binned = fit.join(est, "grp").withColumn("bin", F.floor((F.log(F.greatest(_distance(), F.lit(1e-6))) - BIN_LOW) / BIN_STEP))
+        binned = rows.join(est.select("key", "start", "mu", "prec"), "key").withColumn("bin", F.floor((F.log(F.greatest(_distance(), F.lit(1e-6))) - BIN_LOW) / BIN_STEP))
         binned = binned.withColumn("bin", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.col("bin"))))
-        new = table(binned.groupBy("grp", "bin").agg(*moments).join(prior, "grp").groupBy("grp").applyInPandas(_estimate, schema), "estimate")
+        new = table(binned.groupBy("key", "start", "bin").agg(*_moments()).groupBy("key", "start").applyInPandas(_concentrated, _ESTIMATE), "estimates")
+        moved = new.join(est.select("key", "start", F.col("logdet").alias("old")), ["key", "start"]).agg(F.max(F.abs(F.col("logdet") - F.col("old")))).first()[0]
         drop_table(est)
         est = new
-    return est
+        if moved is None or moved < SETTLED:
+            break
+    return est.groupBy("key").agg(F.min_by(F.struct("n", "mu", "cov"), F.struct("logdet", "start")).alias("e")).select("key", "e.*")
+
 
+def blend(n: int, mean: np.ndarray, cov: np.ndarray, mean0: np.ndarray, cov0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance of a group's n rows and of PRIOR rows that are spread as one level up."""
+    w, apart = n / (n + PRIOR), mean - mean0
+    return mean0 + w * apart, w * cov + (1 - w) * cov0 + w * (1 - w) * np.outer(apart, apart)
 
-def judge(docs: DataFrame, support: float = SUPPORT, cutoff: float = CUTOFF) -> DataFrame:
+
+def judge(docs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
     """docs with doc_id, text, lang, source -> doc_id, lang, source, the five counts, base_failed, distance, kept.
 
     A text with fewer than 50 words, or with more than half its words in repeated windows, fails the base
     rules (null and empty texts do). The others are described by five transformed statistics; each group of
-    one lang and source gets a minimum-covariance-determinant estimate: from the medians and spreads, every
-    concentration step takes the `support` share of all its rows that lie nearest and re-estimates from
-    them. Rows with a squared Mahalanobis distance above `cutoff` are rejected. Nulls in lang or source are
-    values of their own. Each group's estimate is drawn towards that of its language, and a language's towards
-    that of all rows, which count as 50 rows more: smoothly less the larger the group is, at any size. Equal rows are judged alike. An empty table gives an empty result.
-
-    A step is one aggregation with map-side combine: moments per group and distance bin (at most 96 rows a
-    group); the nearest share is a run of bins, so no group is ever sorted or collected.
+    one lang and source gets a minimum-covariance-determinant estimate of SUPPORT of its rows. Rows with a squared
+    Mahalanobis distance above `cutoff` are rejected. Nulls in lang or source are values of their own. Each group's
+    estimate is drawn towards that of its language, and a language's towards that of all rows, which count as 50
+    rows more: smoothly less the larger the group is, at any size. Equal rows, repeated ids among them, are judged
+    alike; other columns are not read. An empty table gives an empty result.
     """
     base = _counted(docs.select("doc_id", "lang", "source", "text"), ["doc_id", "lang", "source"])
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     base = base.withColumn("base_failed", failed)
     base = base.withColumns({f"x{i}": x for i, x in enumerate(_features())})
     named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    keys = {"all": F.lit(""), "tongue": named("lang"), "grp": F.to_json(F.array(named("lang"), named("source")))}
-    base = table(base.withColumns(keys), "counts")
-    fit, x = base.filter("not base_failed"), [f"x{i}" for i in range(FEATURES)]
-    est = _estimates(fit.select(F.col("all").alias("grp"), *x), fit.sparkSession.createDataFrame([("", None, None)], "grp string, mu0 array<double>, cov0 array<double>"))
-    for up, level in (("all", "tongue"), ("tongue", "grp")):
-        above = est.select(F.col("grp").alias(up), F.col("mu").alias("mu0"), F.col("cov").alias("cov0"))
-        prior = table(fit.groupBy(level).agg(F.min(up).alias(up)).join(above, up).select(F.col(level).alias("grp"), "mu0", "cov0"), "prior")
-        est = _estimates(fit.select(F.col(level).alias("grp"), *x), prior)
-    out = base.join(est, "grp", "left").withColumn("distance", F.round(_distance(), 6))
+    levels = [F.lit("[]"), F.to_json(F.array(named("lang"))), F.to_json(F.array(named("lang"), named("source")))]
+    base = table(base.withColumn("levels", F.array(*levels)), "counts")
+    fit = base.filter("not base_failed").select(F.explode("levels").alias("key"), *[f"x{i}" for i in range(FEATURES)])
+    est = table(least_determinants(fit), "least")
+    groups = base.filter("not base_failed").select("levels").distinct()
+    for k, name in enumerate(("all", "tongue", "own")):
+        one = est.select(F.col("key").alias(name), F.struct("n", "mu", "cov").alias(f"e{k}"))
+        groups = groups.withColumn(name, F.get("levels", F.lit(k))).join(one, name)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square = lambda e: (e["n"], np.array(e["mu"]), np.array(e["cov"]).reshape(FEATURES, FEATURES))
+        for pdf in frames:
+            out = []
+            for row in pdf.itertuples():
+                _, *now = square(row.e0)
+                for e in (row.e1, row.e2):
+                    now = blend(*square(e), *now)
+                out.append({"own": row.own, "mu": np.round(now[0], 9).tolist(), "prec": np.round(floored(now[1])[0].ravel(), 9).tolist()})
+            yield pd.DataFrame(out, columns=["own", "mu", "prec"])
+
+    final = table(groups.select("own", "e0", "e1", "e2").mapInPandas(run, "own string, mu array<double>, prec array<double>"), "estimates")
+    out = base.withColumn("own", F.get("levels", F.lit(2))).join(final, "own", "left").withColumn("distance", F.round(_distance(), 6))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= cutoff))
     return out.select("doc_id", "lang", "source", *COUNTS, "base_failed", "distance", kept.alias("kept"))
 
