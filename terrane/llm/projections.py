@@ -45,13 +45,26 @@ def plan_tables(largest: int, cosine: float) -> tuple[int, int]:
     return signs, 1 if not signs else math.ceil(math.log(1 - TABLE_RECALL) / math.log(1 - same**signs))
 
 
+def _kind(vectors: DataFrame) -> str:
+    """The components' type: what is read as single precision travels so, and loses nothing."""
+    return "<f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "<f8"
+
+
+def _units(vecs: list[bytes], kind: str) -> np.ndarray:
+    """Vectors of one length, in double precision, at length one."""
+    x = np.stack([np.frombuffer(v, dtype=kind) for v in vecs]).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
 def _named(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, label) -> vid, label, unit (double vector as bytes), of vectors that can link."""
-    schema = T.StructType([vectors.schema["vec_id"], T.StructField("label", T.StringType()), T.StructField("unit", T.BinaryType())])
+    """(vec_id, embedding, label) -> vec_id, label, vec (the components as bytes, of their own width), of vectors that can link."""
+    kind = _kind(vectors)
+    schema = T.StructType([vectors.schema["vec_id"], T.StructField("label", T.StringType()), T.StructField("vec", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels, units = [], [], []
+            ids, vecs = [], []
             for i, x in enumerate(batch.column("embedding")):
                 x = x.as_py()
                 if not x or any(v is None for v in x):
@@ -59,11 +72,10 @@ def _named(vectors: DataFrame) -> DataFrame:
                 v = np.array(x, dtype=np.float64)
                 if not np.isfinite(v).all() or not v.any():
                     continue
-                v = v / np.abs(v).max()
                 ids.append(i)
-                units.append((v / np.sqrt(v @ v)).tobytes())
+                vecs.append((v + 0.0).astype(kind).tobytes())
             at = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at), pa.array(units, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(at), batch.column("label").take(at), pa.array(vecs, pa.binary())], names=schema.names)
 
     wanted = vectors.filter(F.col("label").isNotNull()).select("vec_id", "embedding", F.col("label").cast("string").alias("label"))
     # vectors of different length never meet
@@ -84,11 +96,14 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
     projections; a pair's count is the number of projections in which one lies in the window around the
     other, and pairs that reach the calibrated count are verified. A pair counts in the first table in which
     it meets, so no pair leaves its block: only link counts and a spanning forest of each block do. Buckets
-    above 1,024 vectors are met block by block.
+    above 1,024 vectors are met block by block. A vector travels once for each table and block, in the width in
+    which it was read. Other columns are not read.
     """
+    kind = _kind(vectors)
+    width = int(kind[-1])
     named = _named(vectors.select(key_of("vec_id").alias("vec_id"), "embedding", "label"))
-    named = table(named, "units")
-    classes = named.groupBy("label", "unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
+    named = table(named, "vectors")
+    classes = named.groupBy("label", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     classes = table(classes, "classes")
     largest = classes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     signs, tables = plan_tables(largest, cosine)
@@ -98,19 +113,19 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
         planes: dict[int, np.ndarray] = {}
         for batch in batches:
             out = np.zeros((batch.num_rows, tables), dtype=np.int64)
-            units = batch.column("unit").to_pylist()
+            vecs = batch.column("vec").to_pylist()
             by_size: dict[int, list[int]] = {}
-            for i, u in enumerate(units):
-                by_size.setdefault(len(u) // 8, []).append(i)
+            for i, v in enumerate(vecs):
+                by_size.setdefault(len(v) // width, []).append(i)
             for size, rows in by_size.items():
                 if size not in planes:
                     planes[size] = np.random.Generator(np.random.PCG64([seed, size])).standard_normal((size, signs * tables))
-                side = np.stack([np.frombuffer(units[i]) for i in rows]) @ planes[size] > 0
+                side = _units([vecs[i] for i in rows], kind) @ planes[size] > 0
                 out[rows] = side.reshape(len(rows), tables, signs) @ (1 << np.arange(signs, dtype=np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * tables), pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("label", "unit", "rep", "n")], lists], names=["label", "unit", "rep", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("label", "vec", "rep", "n")], lists], names=["label", "vec", "rep", "n", "keys"])
 
-    keyed = table(classes.mapInArrow(keys, "label string, unit binary, rep long, n long, keys array<long>"), "keyed")
+    keyed = table(classes.mapInArrow(keys, "label string, vec binary, rep long, n long, keys array<long>"), "keyed")
     met = keyed.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(tables - 1)))).withColumn("key", F.get("keys", F.col("slot")))
     cell = ["label", "slot", "key"]
     sizes = met.groupBy(*cell).agg(F.count("*").alias("many")).filter("many > 1").withColumn("parts", F.ceil(F.col("many") / BLOCK))
@@ -119,12 +134,14 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "parts")
 
+    projections = PROJECTIONS
+
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(u) for u in pdf["unit"]])
+        x = _units(list(pdf["vec"]), kind)
         rep, n, own = pdf["rep"].to_numpy(), pdf["n"].to_numpy(), pdf["own"].to_numpy()
         seen, slot = np.stack(pdf["keys"].to_list()), int(pdf["slot"].iloc[0])
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        lines = np.random.Generator(np.random.PCG64([seed, 1, x.shape[1]])).standard_normal((x.shape[1], PROJECTIONS))
+        lines = np.random.Generator(np.random.PCG64([seed, 1, x.shape[1]])).standard_normal((x.shape[1], projections))
         place = x @ lines
         left, right = (np.arange(len(x)),) * 2 if i == j else (np.flatnonzero(own == i), np.flatnonzero(own == j))
         links, edges = np.zeros(len(x), dtype=np.int64), []
@@ -136,12 +153,12 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
                 a = root[a]
             return a
 
-        spots = [np.argsort(place[right, p], kind="stable") for p in range(PROJECTIONS)]
+        spots = [np.argsort(place[right, p], kind="stable") for p in range(projections)]
         lanes = [place[right[s], p] for p, s in enumerate(spots)]
         for at in range(0, len(left), 128):
             rows = left[at : at + 128]
             count = np.zeros((len(rows), len(right)), dtype=np.int8)
-            for p in range(PROJECTIONS):
+            for p in range(projections):
                 # the window of each query is one run of the sorted projection
                 lo = np.searchsorted(lanes[p], place[rows, p] - radius)
                 hi = np.searchsorted(lanes[p], place[rows, p] + radius, side="right")
@@ -169,16 +186,16 @@ def link_vectors(vectors: DataFrame, cosine: float = 0.93, seed: int = 3) -> Dat
         some = np.flatnonzero(links)
         e = np.array(edges, dtype=np.int64).reshape(-1, 2)
         return pd.concat([
-            pd.DataFrame({"a": rep[some], "b": rep[some], "la": pdf["label"].iloc[0], "ua": pdf["unit"].to_numpy()[some], "ub": None, "links": links[some]}),
+            pd.DataFrame({"a": rep[some], "b": rep[some], "la": pdf["label"].iloc[0], "ua": pdf["vec"].to_numpy()[some], "ub": None, "links": links[some]}),
             pd.DataFrame({"a": rep[e[:, 0]], "b": rep[e[:, 1]], "la": pdf["label"].iloc[0], "ua": None, "ub": None, "links": 0}),
         ])[["a", "b", "la", "ua", "links"]]
 
     found = table(met.groupBy(*cell, "i", "j").applyInPandas(block, "a long, b long, la string, ua binary, links long"), "links")
-    counts = found.filter("links > 0").groupBy(F.col("la").alias("label"), F.col("ua").alias("unit")).agg(F.sum("links").alias("links"))
+    counts = found.filter("links > 0").groupBy(F.col("la").alias("label"), F.col("ua").alias("vec")).agg(F.sum("links").alias("links"))
     joined = components(found.filter("a != b").select("a", "b"))
-    classes = classes.join(counts, ["label", "unit"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    classes = table(classes.select("label", "unit", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "linked")
-    linked = named.join(classes, ["label", "unit"]).select("vec_id", "n_links", "component_id")
+    classes = classes.join(counts, ["label", "vec"], "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = table(classes.select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id")), "linked")
+    linked = named.join(classes, ["label", "vec"]).select("vec_id", "n_links", "component_id")
     alone = vectors.select(key_of("vec_id").alias("vec_id")).join(table(named.select("vec_id").distinct(), "named"), "vec_id", "left_anti")
     out = linked.unionAll(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     real = lambda c: F.when(F.col(c) != key_of(F.lit(None).cast("long")), F.col(c))
