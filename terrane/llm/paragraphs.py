@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from terrane.llm._common import drop_table, key_of, load, release, table
-from terrane.llm._shingles import Sketcher, mix, pieces, powers, prefix_hash, set_names, shingle_sets, words
+from terrane.llm._shingles import Sketcher, mix, pieces, powers, prefix_hash, set_names, shingle_sets, string_names, words
 from terrane.llm.minhash import full_sets, key_lists, link_classes, sets_schema
 
 #: Five bands of two samples: two paragraphs of similarity 0.8 share none with probability 0.006.
@@ -61,8 +61,7 @@ def paragraph_ends(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
 def word_names(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of every word and 32 bits that name it, A-Z as a-z."""
     start, end, _ = words(data, ends)
-    total, (_, down) = prefix_hash(data), powers(len(data))
-    named = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    named = string_names(data, start, end, prefix_hash(data))
     return start, end, (named >> np.uint64(32)).astype("<u4")
 
 
@@ -191,7 +190,7 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
     run_words words, gaps of under least_words words between two of a run included; so common short sentences
     stay. n_removed counts the paragraphs that go whole, n_spans counts the runs, originals lists the documents that keep them. Null
     texts are empty; texts without words have no paragraph to compare. Rows with one doc_id and one text
-    share a result. A null doc_id is reported null. An empty table gives an empty result.
+    share a result, different texts of one doc_id are documents of their own. A null doc_id is reported null. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -207,7 +206,7 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
     drop_table(sk)
     release(spark)
     first = placed.groupBy("component_id").agg(F.min(F.struct("i", "k", "t")).alias("keep"))
-    repeated = placed.join(table(first, "first"), "component_id").filter("i != keep.i or k != keep.k")
+    repeated = placed.join(table(first, "first"), "component_id").filter("i != keep.i or t != keep.t or k != keep.k")
     repeated = repeated.select("i", "t", "k", F.col("keep.i").alias("ki"), F.col("keep.t").alias("kt"), F.col("keep.k").alias("kk")).distinct()
     # words around a paragraph matter where a neighbour is not repeated as well, next to the same kept one
     beside = Window.partitionBy("i", "t").orderBy("k", "ki", "kk")
