@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import base64
+import json
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +26,10 @@ TOKENIZER = "byte_bpe_50k"
 
 
 class Encoder:
-    """Ids of a byte-level BPE file; special tokens' strings in a text are ordinary text.
+    """Ids of a byte-level BPE file by its JSON tokenizer, special tokens in a text included.
 
-    The ranks file of the same vocabulary gives the same ids several times faster; texts that its library
-    refuses go through the JSON file.
+    The ranks file of the same vocabulary gives the same ids several times faster for texts without an added token's
+    string; those with one, and texts that its library refuses, go through the JSON file.
     """
 
     def __init__(self, name: str = TOKENIZER):
@@ -34,23 +37,25 @@ class Encoder:
         import tiktoken
 
         self.json = files.path(f"{name}.json")
+        with open(self.json, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         with open(files.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding(name, pat_str=files.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.slow = None
 
     def __call__(self, text: str) -> list[int]:
-        try:
-            return self.fast.encode_ordinary(text)
-        except BaseException as e:  # the library's Rust panics are no Exception
-            if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
-                raise
-            if self.slow is None:
-                from tokenizers import Tokenizer
+        if not any(t in text for t in self.added):
+            try:
+                return self.fast.encode_ordinary(text)
+            except BaseException as e:  # the library's Rust panics are no Exception
+                if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
+                    raise
+        if self.slow is None:
+            from tokenizers import Tokenizer
 
-                self.slow = Tokenizer.from_file(self.json)
-                self.slow.encode_special_tokens = True
-            return self.slow.encode(text, add_special_tokens=False).ids
+            self.slow = Tokenizer.from_file(self.json)
+        return self.slow.encode(text, add_special_tokens=False).ids
 
 
 def tokenize(docs: DataFrame, name: str = TOKENIZER, end_id: int = 0) -> DataFrame:
@@ -90,22 +95,67 @@ def tokenize(docs: DataFrame, name: str = TOKENIZER, end_id: int = 0) -> DataFra
     return docs.select("doc_id", queue.alias("queue"), "text").mapInArrow(run, schema)
 
 
-def sent(window: int, total: int, tokens: np.ndarray | int, per_window: int) -> np.ndarray | int:
-    """Tokens that queues of `tokens` have sent after `window` windows of per_window, out of `total`.
+class Rounds:
+    """What every queue has sent after a number of tokens in all, in closed form.
 
-    Every window adds per_window * tokens / total to a queue's deficit counter and sends its whole part;
-    the fraction carries over to the next window, wherever that is made. Cut freely, a queue always has a
-    token to send, so the running sum has this closed form.
+    Every window adds its size, shared by weight among the queues that still have tokens, to their deficit
+    counters, and each sends its whole part; fractions carry over to the next window, wherever that is made, and a
+    queue that runs dry leaves its share to the others. Cut freely, a queue always has a token to send, so between
+    two queues' ends each has sent a fixed share of what went out since the last end.
     """
-    return window * per_window * tokens // total if window * per_window < total else tokens
 
-
-def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name: str = TOKENIZER) -> DataFrame:
+    def __init__(self, tokens: list[int], weights: list[int]):
+        self.total = sum(tokens)
+        order = sorted(range(len(tokens)), key=lambda q: Fraction(tokens[q], weights[q]))
+        self.ends, self.before, self.weight = [], [0], [sum(weights)]  # of phases: first token after, tokens of dry queues, weight of the others
+        self.phase = [0] * len(tokens)  # in which each queue runs dry
+        for at, q in enumerate(order):
+            if at and Fraction(tokens[q], weights[q]) == Fraction(tokens[order[at - 1]], weights[order[at - 1]]):
+                self.phase[q] = len(self.ends) - 1
+                self.before[-1], self.weight[-1] = self.before[-1] + tokens[q], self.weight[-1] - weights[q]
+                continue
+            self.phase[q] = len(self.ends)
+            self.ends.append(self.before[-1] - (-tokens[q] * self.weight[-1] // weights[q]))
+            self.before.append(self.before[-1] + tokens[q])
+            self.weight.append(self.weight[-1] - weights[q])
+        wide = max(weights, default=0) * self.total >= 1 << 62  # products beyond 64 bits are Python's integers
+        self.tokens, self.weights = (np.array(x, dtype=object if wide else np.int64) for x in (tokens, weights))
+        self.phase = np.array(self.phase, dtype=np.int64)
+
+    def sent(self, out: int) -> np.ndarray:
+        """Tokens that each queue has sent when `out` have been sent in all, but for the fractions."""
+        m = bisect_right(self.ends, out)
+        if m == len(self.ends):
+            return self.tokens
+        return np.where(self.phase < m, self.tokens, self.weights * (out - self.before[m]) // self.weight[m])
+
+    def sent_by(self, q: int, out: int) -> int:
+        m = bisect_right(self.ends, out)
+        return int(self.tokens[q]) if self.phase[q] < m else int(self.weights[q]) * (out - self.before[m]) // self.weight[m]
+
+    def window_of(self, q: int, token: int, window: int) -> int:
+        """The window in which a queue sends its token, by its share where all queues end at once, else by bisection."""
+        if len(self.ends) == 1:
+            w = token * self.total // (int(self.tokens[q]) * window)
+            while self.sent_by(q, w * window) > token:
+                w -= 1
+            while self.sent_by(q, (w + 1) * window) <= token:
+                w += 1
+            return w
+        low, high = 0, -(-self.total // window)
+        while high - low > 1:
+            mid = (low + high) // 2
+            low, high = (mid, high) if self.sent_by(q, mid * window) <= token else (low, mid)
+        return low
+
+
+def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name: str = TOKENIZER, weights: Mapping[str | None, int] | None = None) -> DataFrame:
     """docs with doc_id, text, source -> one row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document's tokens are its ids and one end id; a null or empty text is the end id alone. Every source
     is a queue (nulls are one); each window of about `window` tokens takes from all queues in proportion to
-    their tokens, in order of their names, deficits carried. Windows follow one another and are cut into
+    `weights` (one positive integer for every source; without them their tokens, so that all end together), in order
+    of their names, deficits carried. A source that runs dry leaves its share to the others. Windows follow one another and are cut into
     sequences of `sequence` tokens; only the last sequence of all is shorter. Repeated rows are packed each;
     an empty table gives an empty result.
 
@@ -119,9 +169,10 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name:
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     places = counts.select("part", "queue", F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("base"))
     queues = sorted((r["queue"], r["tokens"]) for r in counts.groupBy("queue").agg(F.sum("tokens").alias("tokens")).collect())
-    total, most = sum(t for _, t in queues), max((t for _, t in queues), default=0)
-    # products beyond 64 bits are Python's integers
-    sizes = np.array([t for _, t in queues], dtype=np.int64 if total * most < 1 << 62 else object)
+    wanted = {q: t for q, t in queues} if weights is None else {"" if s is None else f"={s}": int(w) for s, w in weights.items()}
+    if gone := [q for q, _ in queues if wanted.get(q, 0) < 1]:
+        raise ValueError(f"no positive weight for the sources {[q[1:] for q in gone[:5]]}")
+    rounds = Rounds([t for _, t in queues], [wanted[q] for q, _ in queues])
     numbers = docs.sparkSession.createDataFrame([(q, i) for i, (q, _) in enumerate(queues)], "queue string, number int")
     places = places.join(table(numbers, "queues"), "queue")
 
@@ -131,13 +182,13 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name:
         def before(w: int) -> np.ndarray:
             """Entry q: tokens that the queues before q have sent after w windows."""
             if w not in seen:
-                if len(seen) * len(sizes) > HELD:
+                if len(seen) * len(rounds.tokens) > HELD:
                     seen.clear()
-                seen[w] = np.concatenate([[0], np.cumsum(sent(w, total, sizes, window))])
+                seen[w] = np.concatenate([[0], np.cumsum(rounds.sent(min(w * window, rounds.total)))])
             return seen[w]
 
         def upto(w: int, q: int) -> int:
-            return int(sent(w, total, int(sizes[q]), window))
+            return rounds.sent_by(q, w * window)
 
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
@@ -148,12 +199,10 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, window: int = WINDOW, name:
                 first = cols["base"][i] + cols["at"][i]
                 raw = ids_of[i].as_buffer()
                 ids = np.frombuffer(raw, dtype="<u2").astype("<u4")
-                done, w = 0, first * total // (int(sizes[q]) * window)
-                while upto(w, q) > first:
-                    w -= 1
+                done, w = 0, rounds.window_of(q, first, window)
                 while done < n:
-                    while upto(w + 1, q) <= first + done:
-                        w += 1
+                    if upto(w + 1, q) <= first + done:
+                        w = rounds.window_of(q, first + done, window)
                     low, high = before(w), before(w + 1)
                     # place in the stream: earlier windows, then this window's share of earlier queues, then the queue's own
                     place = int(low[-1] + high[q] - low[q + 1]) + first + done
