@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from terrane.llm._common import load, table
 
-#: Texts are ordered by a 64-bit hash; its first UNIT_BITS bits name the atomic unit. The driver holds one
-#: sum per unit, 65,536 at most whatever the input.
-UNIT_BITS = 16
+#: Texts are ordered by a 64-bit hash; its first UNIT_BITS bits name the units that are summed first, 65,536 at
+#: most whatever the input. Units beside a cut are then parted by STEP_BITS more bits, until a cut parts groups.
+UNIT_BITS, STEP_BITS = 16, 8
 #: Units with more than 1/HOT of all rows get SALTS numbering ranges; there are fewer than HOT of them.
 HOT, SALTS = 512, 256
 
@@ -21,35 +21,74 @@ HOT, SALTS = 512, 256
 def minimax_cuts(sizes: list[int], shards: int) -> list[int]:
     """First index of shards 1..shards-1 in the contiguous partition whose largest sum is least.
 
-    Binary search over the capacity; one check walks the shards greedily, by bisection in the prefix sums.
-    Cuts beyond the last element mean empty shards.
+    Binary search over the capacity; one check walks the shards greedily, by bisection in the prefix sums. Of the
+    cuts that keep the least capacity each is the one nearest to its equal share. Cuts beyond the last element
+    mean empty shards.
     """
-    ends = list(accumulate(sizes))
-    total, n = (ends[-1] if ends else 0), len(sizes)
+    ends = [0, *accumulate(sizes)]
+    total, n = ends[-1], len(sizes)
 
-    def fill(capacity: int) -> list[int] | None:
-        cuts, at, before = [], 0, 0
+    def feasible(capacity: int) -> bool:
+        at = 0
         for _ in range(shards):
-            at = bisect_right(ends, before + capacity, at)
-            before = ends[at - 1] if at else 0
-            cuts.append(at)
-        return cuts[:-1] if at >= n else None
+            at = bisect_right(ends, ends[at] + capacity) - 1
+        return at >= n
 
     low, high = max([-(-total // shards), *sizes], default=0), total
     while low < high:
         mid = (low + high) // 2
-        low, high = (low, mid) if fill(mid) is not None else (mid + 1, high)
-    return fill(low) or [n] * (shards - 1)
+        low, high = (low, mid) if feasible(mid) else (mid + 1, high)
+    # the first place of each cut from which the shards behind it can hold the rest
+    least = [n]
+    for _ in range(shards - 1):
+        least.append(bisect_left(ends, ends[least[-1]] - low))
+    cuts, at = [], 0
+    for shard, first in enumerate(reversed(least[1:]), 1):
+        first, last = max(first, at), bisect_right(ends, ends[at] + low) - 1
+        share = total * shard / shards
+        near = min(max(bisect_left(ends, share), first), last)
+        at = near - 1 if near > first and share - ends[near - 1] <= ends[near] - share else near
+        cuts.append(at)
+    return cuts
+
+
+def _cut_hashes(base: DataFrame, shards: int) -> tuple[list[int], list[tuple[int, int]]]:
+    """Hashes (unsigned) with which shards 1..shards-1 begin, and the rows of each first unit.
+
+    Units beside a cut that hold more than one group are parted further and the cuts found again, until every cut
+    lies between groups that are known each: a few passes over the sizes.
+    """
+
+    def sums(prefix: Column, where: Column | None, bits: int) -> list[list]:
+        rows = base if where is None else base.filter(where)
+        got = rows.groupBy(prefix.alias("unit")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), (F.min("_h") == F.max("_h")).alias("one")).collect()
+        return [[(r["unit"] % (1 << bits)) << (64 - bits), bits, r["size"], r["n"], r["one"]] for r in got]
+
+    units = sorted(sums(F.shiftrightunsigned("_h", 64 - UNIT_BITS), None, UNIT_BITS))
+    rows = [(u[0] >> (64 - UNIT_BITS), u[3]) for u in units]
+    while True:
+        cuts = minimax_cuts([u[2] for u in units], shards)
+        beside = {i for c in cuts for i in (c - 1, c) if 0 <= i < len(units) and not units[i][4]}
+        if not beside:
+            return [units[c][0] if c < len(units) else 1 << 64 for c in cuts], rows
+        finer = []
+        for bits in sorted({units[i][1] for i in beside}):
+            names = [u - (1 << 64) if u >= 1 << 63 else u for u in (units[i][0] for i in beside if units[i][1] == bits)]
+            begin = F.shiftleft(F.shiftrightunsigned("_h", 64 - bits), 64 - bits)
+            finer += sums(F.shiftrightunsigned("_h", 64 - bits - STEP_BITS), begin.isin(names), bits + STEP_BITS)
+        units = sorted([u for i, u in enumerate(units) if i not in beside] + finer)
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> DataFrame:
     """docs with doc_id, text -> doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
-    Law "bytes": the size is the text's UTF-8 bytes (null: none) plus row_bytes, and the largest shard is as
-    small as contiguous cuts allow. Rows with equal texts (nulls among themselves) are never parted. The
-    atomic units, in the order of the texts' hashes, are runs of whole groups with one hash prefix; below
-    65,536 distinct texts most are single groups. slot numbers a shard's rows from 0 without gaps. Repeated
-    rows each take a slot. Empty input gives an empty result; shards may be empty when units are few.
+    Law "bytes": the size is the text's UTF-8 bytes (null: none) plus row_bytes; the largest shard is as small as
+    cuts in the order of the texts' hashes allow, and each cut is as near to equal shards as that permits. Rows with
+    equal texts (nulls among themselves) are a group and are never parted; cuts lie between single groups at any
+    size of the input. Beyond 65,536 texts the search for the least capacity knows the groups beside its cuts one by
+    one and the others in runs. slot numbers a shard's rows from 0 without gaps, in the order of hash and doc_id;
+    repeated rows each take a slot. An empty table gives an empty result; shards may be empty when groups are few.
+    Other columns are not read.
 
     A unit with very many rows (a group of copies) is numbered in salted ranges, so that no window holds it
     whole.
@@ -61,23 +100,20 @@ def shard_documents(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> D
         F.xxhash64(F.col("text").isNull(), F.col("text")).alias("_h"),
     ).withColumn("_unit", F.shiftrightunsigned("_h", 64 - UNIT_BITS).cast("int"))
     base = table(base, "sizes")
-    units = sorted((r[0], r[1], r[2]) for r in base.groupBy("_unit").agg(F.sum("size"), F.count("*")).collect())
-    rows = sum(u[2] for u in units)
-    names = [u[0] for u in units]
-    cuts = minimax_cuts([u[1] for u in units], shards)
-    firsts = [names[c] if c < len(names) else 1 << UNIT_BITS for c in cuts]
-    hot = [u[0] for u in units if u[2] > max(SALTS, rows // HOT)]
-    shard = F.lit(0)
+    firsts, units = _cut_hashes(base, shards)
+    hot = [u for u, n in units if n > max(SALTS, sum(n for _, n in units) // HOT)]
+    # hashes in unsigned order are these in signed order
+    ordered, shard = F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), F.lit(0)
     for first in firsts:
-        shard = shard + (F.col("_unit") >= first).cast("int")
+        shard = shard + ((ordered >= first - (1 << 63)).cast("int") if first < 1 << 64 else F.lit(0))
     salt = F.when(F.col("_unit").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")
-    placed = base.withColumn("_salt", salt)
-    counts = placed.groupBy("_unit", "_salt").agg(F.count("*").alias("_n")).withColumn("shard", shard)
+    placed = base.withColumn("_salt", salt).withColumn("shard", shard)
+    counts = placed.groupBy("shard", "_unit", "_salt").agg(F.count("*").alias("_n"))
     order = Window.partitionBy("shard").orderBy("_unit", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(order), F.lit(0))).drop("_n")
-    # one row per unit and salt: under 65,536 + 512 * 256 of them, whatever the input
-    placed = placed.join(F.broadcast(starts), ["_unit", "_salt"])
-    within = F.row_number().over(Window.partitionBy("_unit", "_salt").orderBy("_h", "doc_id"))
+    # one row per unit and salt, and one more per cut: under 65,536 + 512 * 256 + 39 of them, whatever the input
+    placed = placed.join(F.broadcast(starts), ["shard", "_unit", "_salt"])
+    within = F.row_number().over(Window.partitionBy("shard", "_unit", "_salt").orderBy("_h", "doc_id"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("_start") + within - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
