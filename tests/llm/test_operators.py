@@ -237,7 +237,6 @@ def test_packing(docs):
     import public_tokenizers as files
 
     t = Tokenizer.from_file(files.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], dtype="<u4") for r in docs.collect()}
     rows = packing.pack(docs, window=4096).collect()
     for k, own in ids.items():
