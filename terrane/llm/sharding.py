@@ -14,6 +14,8 @@ from terrane.llm._common import load, table
 #: Texts are ordered by a 64-bit hash; its first UNIT_BITS bits name the units that are summed first, 65,536 at
 #: most whatever the input. Units beside a cut are then parted by STEP_BITS more bits, until a cut parts groups.
 UNIT_BITS, STEP_BITS = 16, 8
+#: Units on either side of a cut that are parted at once: under 40 * 2 * AROUND * 256 sums for the driver.
+AROUND = 12
 #: Units with more than 1/HOT of all rows get SALTS numbering ranges; there are fewer than HOT of them.
 HOT, SALTS = 512, 256
 
@@ -68,9 +70,10 @@ def _cut_hashes(base: DataFrame, shards: int) -> tuple[list[int], list[tuple[int
     rows = [(u[0] >> (64 - UNIT_BITS), u[3]) for u in units]
     while True:
         cuts = minimax_cuts([u[2] for u in units], shards)
-        beside = {i for c in cuts for i in (c - 1, c) if 0 <= i < len(units) and not units[i][4]}
-        if not beside:
+        if all(units[i][4] for c in cuts for i in (c - 1, c) if 0 <= i < len(units)):
             return [units[c][0] if c < len(units) else 1 << 64 for c in cuts], rows
+        # finer units move the cuts: those around are parted with them
+        beside = {i for c in cuts for i in range(max(0, c - AROUND), min(len(units), c + AROUND)) if not units[i][4]}
         finer = []
         for bits in sorted({units[i][1] for i in beside}):
             names = [u - (1 << 64) if u >= 1 << 63 else u for u in (units[i][0] for i in beside if units[i][1] == bits)]
@@ -101,7 +104,8 @@ def shard_documents(docs: DataFrame, shards: int = 40, row_bytes: int = 16) -> D
     ).withColumn("_unit", F.shiftrightunsigned("_h", 64 - UNIT_BITS).cast("int"))
     base = table(base, "sizes")
     firsts, units = _cut_hashes(base, shards)
-    hot = [u for u, n in units if n > max(SALTS, sum(n for _, n in units) // HOT)]
+    most = max(SALTS, sum(n for _, n in units) // HOT)
+    hot = [u for u, n in units if n > most]
     # hashes in unsigned order are these in signed order
     ordered, shard = F.col("_h").bitwiseXOR(F.lit(-(1 << 63))), F.lit(0)
     for first in firsts:
