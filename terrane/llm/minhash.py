@@ -203,11 +203,12 @@ def near_duplicate_classes(items: DataFrame, percent: int = 85, size: int = 5) -
     return joined.select("id", "n_shingles", F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component_id")), "id").alias("component_id"))
 
 
-def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int = BANDS) -> DataFrame:
+def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, bands: int = BANDS, at_once: int = BANDS) -> DataFrame:
     """Components of sketched items (id, n_shingles, s1, s2, keys): s1, s2, component_id of the sets that are not alone.
 
     Two items of one set make a component, and so do two linked sets. sets_of(ids) gives full_sets(); it is
-    asked only for sets that share a bucket.
+    asked only for sets that share a bucket. Buckets are found for at_once bands at a time: fewer need less disk, and
+    read the sketches more often.
     """
     spark, least = sk.sparkSession, percent / 100
     # equal sets have equal keys: columns of integers keep this a hash aggregation
@@ -216,12 +217,23 @@ def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     grouped = full.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys])
     classes = table(grouped, "classes")
     release(spark)
-    banded = classes.select(F.col("rep").alias("id"), F.explode(F.array(*keys)).alias("key"))
-    buckets = table(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("key", "hub"), "buckets")
+    parts = []
+    for low in range(0, bands, at_once):
+        banded = classes.select(F.col("rep").alias("id"), F.explode(F.array(*keys[low : low + at_once])).alias("key"))
+        buckets = table(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("key", "hub"), "buckets")
+        release(spark)
+        parts.append(table(banded.join(buckets, "key"), "members"))
+        drop_table(buckets)
+        release(spark)
+    members = union_all(parts)
+    ids = table(members.select("id").distinct(), "ids")
+    # the sets that stand alone and share no bucket are done; the ids grow with the input: the same join at every size
+    shared = ids.select(F.col("id").alias("rep"), F.lit(True).alias("shared"))
+    named = classes.select("s1", "s2", "rep", "n").join(shared.hint("merge"), "rep", "left").filter("n > 1 or shared").drop("shared")
+    named = table(named, "named")
+    drop_table(classes)
     release(spark)
-    members = table(banded.join(buckets, "key"), "members")
-    release(spark)
-    sets = table(sets_of(members.select("id").distinct()), "sets")
+    sets = table(sets_of(ids), "sets")
     release(spark)
     star = members.filter("id != hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     star = table(_screen(star, sets, least), "stars")
@@ -247,9 +259,9 @@ def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
         last = table(_confirm(across.join(star.select("a", "b"), ["a", "b"], "left_anti"), sets, percent), "links")
         if last.limit(1).count():
             found = components(union_all([edges, more, last]))
-    joined = classes.select("s1", "s2", "rep", "n").join(found.withColumnRenamed("id", "rep"), "rep", "left")
+    joined = named.join(found.withColumnRenamed("id", "rep"), "rep", "left")
     out = table(joined.filter("n > 1 or component_id is not null").select("s1", "s2", F.coalesce("component_id", "rep").alias("component_id")), "by-set")
-    for t in (classes, buckets, members, sets, star, placed, mixed):
+    for t in (*parts, ids, named, sets, star, placed, mixed):
         drop_table(t)
     release(spark)
     return out
