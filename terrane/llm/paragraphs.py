@@ -65,21 +65,37 @@ def word_names(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return start, end, (named >> np.uint64(32)).astype("<u4")
 
 
+def _by_text(texts: pa.Array, marked: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, dict[int, tuple]]]:
+    """Of runs of whole texts: first row, row after the last, number of paragraphs of each text; of marked rows the
+    offsets of paragraphs and the starts, ends and names of words, all in their text."""
+    for first, last, data, ends in pieces(texts):
+        at, of, _ = paragraph_ends(data, ends)
+        edge = np.searchsorted(of, np.arange(last - first + 1))
+        rows, use = {}, np.flatnonzero(marked[first:last])
+        if len(use):
+            start, end, name = word_names(data, ends)
+            word = np.searchsorted(start, ends)
+            for r in use.tolist():
+                a, b, base = word[r], word[r + 1], ends[r]
+                rows[first + r] = (at[edge[r] : edge[r + 1] + 1] - base, start[a:b] - base, end[a:b] - base, name[a:b])
+        yield first, last, np.diff(edge), rows
+
+
 def _contexts(texts: DataFrame) -> DataFrame:
     """(i, t, text, ks) -> i, t, k, before, after: the names of CONTEXT words on either side of the paragraphs ks."""
     schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("t", T.LongType()), T.StructField("k", T.IntegerType()), T.StructField("before", T.BinaryType()), T.StructField("after", T.BinaryType())])
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for i, t, text, ks in zip(*[batch.column(c).to_pylist() for c in ("i", "t", "text", "ks")], strict=True):
-                data = np.frombuffer(text.encode(), dtype=np.uint8)
-                ends = np.array([0, len(data)])
-                at, _, _ = paragraph_ends(data, ends)
-                start, _, name = word_names(data, ends)
-                low = np.searchsorted(start, at)
-                rows += [(i, t, k, name[max(0, low[k] - CONTEXT) : low[k]].tobytes(), name[low[k + 1] : low[k + 1] + CONTEXT].tobytes()) for k in ks]
-            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=pa.schema([("i", pa.int64()), ("t", pa.int64()), ("k", pa.int32()), ("before", pa.binary()), ("after", pa.binary())]))
+            i, t, ks = (batch.column(c).to_pylist() for c in ("i", "t", "ks"))
+            for _, _, _, found in _by_text(batch.column("text"), np.ones(batch.num_rows, dtype=bool)):
+                rows: list[tuple] = []
+                for r, (at, start, _, name) in found.items():
+                    low = np.searchsorted(start, at)
+                    rows += [(i[r], t[r], k, name[max(0, low[k] - CONTEXT) : low[k]].tobytes(), name[low[k + 1] : low[k + 1] + CONTEXT].tobytes()) for k in ks[r]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
 
     return texts.select("i", "t", "text", "ks").mapInArrow(run, schema)
 
@@ -91,18 +107,13 @@ def _alike(x: np.ndarray, y: np.ndarray) -> int:
     return int(other[0]) if len(other) else n
 
 
-def repeated_runs(data: np.ndarray, marks: list[dict], least_words: int, run_words: int) -> tuple[int, list[tuple[int, int, int, set[int]]]]:
-    """Of a text with marked paragraphs (k, by, before, after): its number of paragraphs, and the runs that go.
+def repeated_runs(at: np.ndarray, start: np.ndarray, end: np.ndarray, name: np.ndarray, marks: list[dict], least_words: int, run_words: int) -> list[tuple[int, int, int, set[int]]]:
+    """The runs that go from a text with marked paragraphs (k, by, before, after).
 
-    A run is first byte, byte after the last, whole paragraphs in it, documents that keep it. It goes on, word by
-    word, as long as the words around a marked paragraph are those around the kept one; of several documents that
-    keep a word the least counts.
+    at are the offsets of its paragraphs; start, end and name are its words'. A run is first byte, byte after the
+    last, whole paragraphs in it, documents that keep it. It goes on, word by word, as long as the words around a
+    marked paragraph are those around the kept one; of several documents that keep a word the least counts.
     """
-    ends = np.array([0, len(data)])
-    at, _, count = paragraph_ends(data, ends)
-    if not marks:
-        return len(count), []
-    start, end, name = word_names(data, ends)
     low = np.searchsorted(start, at)
     by = {m["k"]: m for m in sorted(marks, key=lambda m: (m["k"], m["by"]), reverse=True)}
     runs: list[list[int]] = []  # first word, word after the last
@@ -126,7 +137,7 @@ def repeated_runs(data: np.ndarray, marks: list[dict], least_words: int, run_wor
             cut_b = int(at[last]) if low[last] == b else int(end[b - 1])
             keepers = np.unique(least[a:b]).tolist()
             out.append((cut_a, cut_b, int(max(0, last - first)), {x for x in keepers if x < np.iinfo(np.int64).max}))
-    return len(count), out
+    return out
 
 
 def _paragraphs(docs: DataFrame, size: int, least_words: int) -> DataFrame:
@@ -201,7 +212,7 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
         places = sk.select("id", "i", "t", "k").join(ids, "id", "left_semi").groupBy("i", "t").agg(F.collect_list(F.struct("k", "id")).alias("at"))
         return _sets_of(texts.join(table(places, "places").hint("merge"), ["i", "t"]), size)
 
-    linked = link_classes(sk, sets_of, percent, BANDS)
+    linked = link_classes(sk, sets_of, percent, BANDS, at_once=1)
     placed = table(sk.select("s1", "s2", "i", "t", "k").join(linked, ["s1", "s2"]).select("i", "t", "k", "component_id"), "placed")
     drop_table(sk)
     release(spark)
@@ -228,19 +239,23 @@ def remove_repeated_paragraphs(docs: DataFrame, percent: int = 80, size: int = 5
     schema = T.StructType([T.StructField(*f) for f in fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64())]
         for batch in batches:
-            for at0 in range(0, batch.num_rows, 256):
-                part = batch.slice(at0, 256)
-                rows: list[tuple] = []
-                for i, text, marks in zip(part.column("i").to_pylist(), part.column("text").to_pylist(), part.column("at").to_pylist(), strict=True):
-                    raw = text.encode()
-                    n, runs = repeated_runs(np.frombuffer(raw, dtype=np.uint8), marks or [], least_words, run_words)
-                    edges = [0, *[x for a, b, _, _ in runs for x in (a, b)], len(raw)]
-                    kept = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode() if runs else text
-                    rows.append((i, n, sum(r[2] for r in runs), len(runs), sorted(set().union(*[r[3] for r in runs])), kept))
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=schema.names)
+            text, marks = batch.column("text"), batch.column("at")
+            for first, last, count, found in _by_text(text, marks.is_valid().to_numpy(zero_copy_only=False)):
+                rows, kept = [(0, 0, [])] * (last - first), text.slice(first, last - first)
+                left = {}
+                for r, (at, *words_of) in found.items():
+                    runs = repeated_runs(at, *words_of, marks[r].as_py(), least_words, run_words)
+                    if runs:
+                        raw = text[r].as_py().encode()
+                        edges = [0, *[x for a, b, _, _ in runs for x in (a, b)], len(raw)]
+                        left[r - first] = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+                        rows[r - first] = (sum(x[2] for x in runs), len(runs), sorted(set().union(*[x[3] for x in runs])))
+                if left:
+                    kept = pa.array([left.get(r, x) for r, x in enumerate(kept.to_pylist())], pa.string())
+                cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("i").slice(first, last - first), pa.array(count.astype(np.int64)), *cols, kept.cast(pa.string())], names=schema.names)
 
     out = joined.select("i", "text", "at").mapInArrow(cut, schema)
     return out.select(F.when(F.col("i") != key_of(F.lit(None).cast("long")), F.col("i")).alias("doc_id"), *schema.names[1:])
