@@ -219,7 +219,8 @@ def link_classes(sk: DataFrame, sets_of: Callable[[DataFrame], DataFrame], perce
     release(spark)
     parts = []
     for low in range(0, bands, at_once):
-        banded = classes.select(F.col("rep").alias("id"), F.explode(F.array(*keys[low : low + at_once])).alias("key"))
+        own = [F.col(k) for k in keys[low : low + at_once]]
+        banded = classes.select(F.col("rep").alias("id"), (F.explode(F.array(*own)) if len(own) > 1 else own[0]).alias("key"))
         buckets = table(banded.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).filter("hub != last").select("key", "hub"), "buckets")
         release(spark)
         parts.append(table(banded.join(buckets, "key"), "members"))
