@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,18 +16,11 @@ NO_ID = -(2**63)
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove shuffle files of plans that are no longer referenced.
-
-    The gateway gives up what Python no longer holds in a thread of its own, so what it held may outlive the first
-    collection; the pauses let that thread and the cleaner finish before the next tables are written.
-    """
+    """Let Spark's cleaner remove shuffle files of plans that are no longer referenced."""
     import gc
 
-    for _ in range(2):
-        gc.collect()
-        time.sleep(0.2)
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def key_of(col: Column | str) -> Column:
