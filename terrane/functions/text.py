@@ -64,11 +64,20 @@ def first_filled(*cols: Column | str) -> Column:
 
 
 def rebuilt(index: Column | str) -> Column:
-    """Text of a map word -> positions (I1). Gaps are empty words; null for an empty map."""
-    pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    at = F.map_from_entries(pairs)
-    last = F.array_max(F.map_keys(at))
-    return F.when(F.size(index) > 0, F.array_join(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(at[i], F.lit(""))), " "))
+    """Text of a map word -> positions (I1). Gaps are empty words, the last word of a position counts; null without positions.
+
+    Positions are sorted once, and each brings the blanks since the one before: what a lambda names besides its own variables
+    is worked out again for every element, so the sorted array is itself a variable.
+    """
+    entry = lambda e, i: F.transform(F.filter(e["value"], lambda p: p >= 0), lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))
+    in_order = F.sort_array(F.flatten(F.transform(F.map_entries(index), entry)))
+
+    def text(s: Column) -> Column:
+        blanks = lambda x, i: F.repeat(F.lit(" "), x["p"] - F.coalesce(F.get(s, i - 1)["p"], F.lit(0)))
+        word = lambda x, i: F.when(F.get(s, i + 1)["p"] == x["p"], "").otherwise(x["w"])
+        return F.when(F.size(s) > 0, F.array_join(F.transform(s, lambda x, i: F.concat(blanks(x, i), word(x, i))), ""))
+
+    return F.transform(F.array(in_order), text)[0]
 
 
 def replace_all(text: Column | str, pairs: list[tuple[str, str]]) -> Column:

@@ -1,6 +1,7 @@
 """Operators that SQL does not express, against plain Python; small exact fixtures."""
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -29,6 +30,17 @@ def test_rebuild_with_gaps(spark):
     assert [r[0] for r in df.select(X.rebuilt("m")).collect()] == ["a b  a", None]
 
 
+def test_rebuild_long_and_repeated(spark):
+    words = [f"w{i % 7000}" for i in range(20_000)]
+    at: dict = {}
+    for i, w in enumerate(words):
+        at.setdefault(w, []).append(i)
+    df = spark.createDataFrame([(at,), ({"a": [2, -1], "b": [2, 4]},), ({"a": []},)], "m map<string,array<int>>")
+    began = time.time()
+    assert [r[0] for r in df.select(X.rebuilt("m")).collect()] == [" ".join(words), "  b  b", None]
+    assert time.time() - began < 20
+
+
 def test_names_dates_labels(spark):
     df = spark.createDataFrame([("Li Wei", "2024-99-99"), ("J Smith", "2024-1-1"), ("Δδ Σσ", None)], "n string, d string")
     got = df.select(X.plausible_name("n").alias("p"), X.valid_date("d").alias("d")).collect()
