@@ -148,9 +148,14 @@ def group_themes(members: DataFrame, vectors: DataFrame, themes: DataFrame) -> D
     return best_first(s, ["group"], [F.desc(F.round("score", 12)), "theme"]).drop("rank")
 
 
-def group_works(members: DataFrame, authorship: DataFrame, works: DataFrame, least: int = 2) -> DataFrame:
-    """group, work, year, rank: works of two members, the latest first."""
-    own = authorship.join(members.select("group", "author"), "author").groupBy("group", "work").agg(F.count_distinct("author").alias("k"))
+def group_works(members: DataFrame, authorship: DataFrame, works: DataFrame, least: int = 2, parts: int | None = None) -> DataFrame:
+    """group, work, year, rank: works of two members, the latest first.
+
+    With `parts`, authorship is dealt to as many tasks by author and again by work: counts are made where their rows are.
+    """
+    deal = lambda rows, key: rows.repartition(parts, key) if parts else rows
+    own = deal(deal(authorship, "author").join(members.select("group", "author"), "author"), "work")
+    own = own.groupBy("group", "work").agg(F.count_distinct("author").alias("k"))
     return best_first(own.filter(F.col("k") >= least).drop("k").join(works.select("work", "year"), "work"), ["group"], [F.desc_nulls_last("year"), "work"], 2**31 - 1)
 
 
