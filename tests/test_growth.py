@@ -12,6 +12,7 @@ SF = "/root/testdata/sf0.001"
 CASES = [
     ("group_works", "author", "lineitem"),
     ("group_works", "work", "lineitem"),
+    ("retained_works_by_author", "author", "lineitem"),
     # cases
 ]
 
