@@ -13,6 +13,7 @@ CASES = [
     ("group_works", "author", "lineitem"),
     ("group_works", "work", "lineitem"),
     ("retained_works_by_author", "author", "lineitem"),
+    ("person_lists", "author", "lineitem"),
     # cases
 ]
 
