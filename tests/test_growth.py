@@ -14,6 +14,7 @@ CASES = [
     ("group_works", "work", "lineitem"),
     ("retained_works_by_author", "author", "lineitem"),
     ("person_lists", "author", "lineitem"),
+    ("token_counts", "id", "documents"),
     # cases
 ]
 
