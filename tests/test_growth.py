@@ -15,6 +15,8 @@ CASES = [
     ("retained_works_by_author", "author", "lineitem"),
     ("person_lists", "author", "lineitem"),
     ("token_counts", "id", "documents"),
+    ("closest_paper_per_person", "id", "documents"),
+    ("explanation_text", "id", "documents"),
     # cases
 ]
 
