@@ -17,6 +17,7 @@ CASES = [
     ("token_counts", "id", "documents"),
     ("closest_paper_per_person", "id", "documents"),
     ("explanation_text", "id", "documents"),
+    ("author_composite", "person", "lineitem"),
     # cases
 ]
 
