@@ -18,6 +18,7 @@ CASES = [
     ("closest_paper_per_person", "id", "documents"),
     ("explanation_text", "id", "documents"),
     ("author_composite", "person", "lineitem"),
+    ("coauthor_lists", "author", "lineitem"),
     # cases
 ]
 
