@@ -5,6 +5,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from terrane.operators import people
 from terrane.sources import tables as S
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +20,6 @@ CASES = [
     ("explanation_text", "id", "documents"),
     ("author_composite", "person", "lineitem"),
     ("coauthor_lists", "author", "lineitem"),
-    # cases
 ]
 
 
@@ -30,3 +30,11 @@ def test_tasks_grow_with_the_table(spark, monkeypatch, name, key, table):
     plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     dealt = [int(x) for x in re.findall(rf"hashpartitioning\({key}#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert n > 4 and n in {x // k for x in dealt for k in (1, 2)}
+
+
+def test_pairs_are_made_once(spark, monkeypatch):
+    made = []
+    pairs = people.coauthors
+    monkeypatch.setattr(people, "coauthors", lambda *a, **b: made.append(1) or pairs(*a, **b))
+    assert entry.queries()["group_metrics"](spark, SF).columns[0] == "community"
+    assert len(made) == 1
